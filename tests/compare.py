@@ -77,7 +77,7 @@ def main():
             else:
                 status = f"rows-only {df.count()}"
         except Exception as error:  # report and go on
-            status = f"ERROR {type(error).__name__}: {str(error)[:1500]}"
+            status = f"ERROR {type(error).__name__}: {str(error)[:400]}"
         if status.startswith(("DIFF", "ERROR")):
             failed.append(name)
         print(f"{name:36s} {time.time() - start:6.2f}s {status}", flush=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwater.session import ensure_checkpoint_dir
+from tillwater.session import stored
 
 
 def latest_per_key(df: DataFrame, keys: list[str], ts: str, tie: list[str] | None = None) -> DataFrame:
@@ -31,16 +31,14 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, ran
 def full_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
     """1-based rank of every row within its key, without gathering a key in one task.
 
-    Rows are range-sorted over the cluster and checkpointed (which fixes their
+    Rows are range-sorted over the cluster and written down (which fixes their
     place); a rank is the row's place within its slice plus the rows of the
     same key in earlier slices. Only the per-slice counts meet in a window.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    placed = (
+    placed = stored(
         df.orderBy(*keys, *order)
         .withColumn("_place", F.monotonically_increasing_id())
         .withColumn("_slice", F.shiftright("_place", 33))
-        .checkpoint()
     )
     slices = placed.groupBy(*keys, "_slice").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tillwater", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,3 +49,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="tillwater-ckpt-")
     sc.setCheckpointDir(named)
     return named
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into a table of the shared checkpoint folder and read it back.
+
+    For costly intermediate results with several uses. Unlike a cached frame it
+    survives lost executors without recomputing, and later reads prune columns
+    and know its size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
