@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillwater.plans import baskets, relational, scoring  # noqa: F401
+from tillwater.plans import baskets, forecasts, relational, scoring  # noqa: F401
 
 
 def queries() -> dict:
