@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwater.operators import analyst, checks, churn, clv, dashboard, features
+from tillwater.operators import analyst, checks, churn, clv, dashboard, features, segments
 from tillwater.plans.relational import register
 from tillwater.plans.sql import AS_OF, EARLIER, money, query, r, xsum
 from tillwater.sources.testdata import Tables
@@ -250,3 +250,42 @@ def churn_result_checks(t):
 def clv_result_checks(t):
     feats = run_features(t)
     return checks.clv_checks(clv.predict_clv(feats, AS_OF), feats, t.tenant_of)
+
+
+def segment_history(t: Tables) -> DataFrame:
+    """Stored segments of two runs by spend, some without a name."""
+    def run(as_of: str) -> DataFrame:
+        spend = F.col("monetary")
+        name = F.when(spend >= 2_000_000, "High Value").when(spend >= 500_000, "Regular").when(spend >= 200_000, "At Risk")
+        return run_features(t, as_of).select(
+            "user_id", "customer_id", name.alias("segment_name"), F.lit(as_of).cast("timestamp").alias("created_at")
+        )
+
+    return run(EARLIER).unionByName(run(AS_OF))
+
+
+SEGMENT = """CASE WHEN monetary >= 2000000 THEN 'High Value' WHEN monetary >= 500000 THEN 'Regular'
+    WHEN monetary >= 200000 THEN 'At Risk' ELSE 'Unclassified' END"""
+SEGMENTS = {**FEAT, "feat0": features_sql(EARLIER), "dist": f"""SELECT user_id, segment, COUNT(*) AS customers,
+    {money('COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY user_id) * 100')} AS percentage FROM (
+      SELECT user_id, {SEGMENT} AS segment FROM (SELECT *, 2 AS run FROM feat UNION ALL SELECT *, 1 FROM feat0)
+      QUALIFY row_number() OVER (PARTITION BY user_id, customer_id ORDER BY run DESC) = 1) GROUP BY user_id, segment"""}
+
+
+@register("customer_distribution", query("done", "SELECT * FROM dist", **SEGMENTS))
+def customer_distribution(t):
+    return dashboard.customer_distribution(segment_history(t))
+
+
+@register("dominant_segment", query("done", """SELECT user_id, segment, customers, percentage FROM dist
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY customers DESC, segment DESC) = 1""", **SEGMENTS))
+def dominant_segment(t):
+    return dashboard.dominant_segment(dashboard.customer_distribution(segment_history(t)))
+
+
+@register("customer_segments")
+def customer_segments(t):
+    """The whole customer base as one tenant; cluster labels depend on the seeds, so there is no check SQL."""
+    base = features.segmentation_features(run_features(t).withColumn("user_id", F.lit("ALL")))
+    found = segments.accepted(segments.segment(base, AS_OF), base)
+    return found.withColumn("created_day", F.date_format("created_at", "yyyy-MM-dd")).drop("created_at")
