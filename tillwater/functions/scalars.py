@@ -45,9 +45,12 @@ def float_prefix(c: Column) -> Column:
     return number.try_cast("double")
 
 
+# White space removed around values: tab to carriage return, blank, no-break space, byte-order mark, other spaces.
+WHITE_SPACE = "\t\n\x0b\x0c\r \u00a0\ufeff\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+
+
 def blank_to_null(c: Column) -> Column:
-    trimmed = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.nullif(trimmed, F.lit(""))
+    return F.nullif(F.btrim(c, F.lit(WHITE_SPACE)), F.lit(""))
 
 
 def days_between(later: Column, earlier: Column) -> Column:

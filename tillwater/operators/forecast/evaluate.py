@@ -14,7 +14,7 @@ LIMITED_MESSAGE = "Forecast accuracy evaluation is based on a limited number of
 def backtest(predicted: DataFrame, series: str = "user_id") -> DataFrame:
     """Actual and the three predictions of every scored day (unrounded)."""
     scored = predicted.filter(F.col("actual").isNotNull())
-    scored = scored.withColumn("legacy_factor", F.get(model.legacy_factors(F.col("obs"), F.col("rev")), F.col("wd")))
+    scored = scored.withColumn("legacy_factor", model.legacy_day_factor())
     return scored.select(
         series,
         "date",

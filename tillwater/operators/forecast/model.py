@@ -9,6 +9,8 @@ slice, so the whole pipeline needs the single shuffle that built the arrays.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,48 +58,53 @@ def with_cutoffs(
     )
 
 
+# Columns below name their inputs and belong to no frame, so they are built once per process:
+# composing the nested array expressions costs more than analysing them.
+@cache
+def _slice_columns() -> dict[str, Column]:
+    return {
+        "rev": F.transform("obs", lambda d: d["revenue"]),
+        "ord": F.transform("obs", lambda d: d["orders"]),
+        "sold": F.filter("obs", lambda d: (d["revenue"] > 0) & (d["orders"] > 0)),
+        "aovs": F.transform(F.filter("obs", lambda d: d["orders"] > 0), lambda d: d["revenue"] / d["orders"]),
+        "n_days": F.size("train"),
+    }
+
+
+@cache
+def _estimate_columns() -> dict[str, Column]:
+    rev, last_orders = F.col("rev"), A.last(F.col("ord"), BASELINE_WINDOW)
+    recent_spikes = A.let(A.last(rev, SPIKE_WINDOW), lambda r: A.let(
+        A.spike_limit(r), lambda cap: F.size(F.filter(r, lambda x: A.is_spike(x, cap)))
+    ))
+    return {
+        "n_obs": F.size("rev"),
+        "est_aov": order_value(F.col("sold")),
+        "order_base": F.greatest(F.lit(0.0), A.weighted_mean(A.winsorised(last_orders))),
+        "order_factors": order_factors(F.col("obs"), rev),
+        "aov_factors": aov_factors(F.col("sold")),
+        "spike_cap": A.spike_limit(rev),
+        "recent_spikes": F.when(F.size("rev") >= 5, recent_spikes),
+    }
+
+
+@cache
+def _settled_columns() -> dict[str, Column]:
+    fallback = F.coalesce(A.log_baseline(A.last(F.col("rev"), BASELINE_WINDOW)), F.lit(0.0))
+    return {
+        "aov": F.coalesce("est_aov", fallback),
+        "order_base": F.coalesce("order_base", F.lit(0.0)),
+        "spike_days": F.size(F.filter("rev", lambda x: A.is_spike(x, F.col("spike_cap")))),
+    }
+
+
 def estimates(cutoffs: DataFrame) -> DataFrame:
     """Baselines, weekday factors, lags and trends of each training slice."""
-    sold = F.filter("obs", lambda d: (d["revenue"] > 0) & (d["orders"] > 0))
-    df = cutoffs.withColumn("obs", F.filter("train", lambda d: d["observed"]))
-    df = df.withColumns(
-        {
-            "rev": F.transform("obs", lambda d: d["revenue"]),
-            "ord": F.transform("obs", lambda d: d["orders"]),
-            "sold": sold,
-            "aovs": F.transform(
-                F.filter("obs", lambda d: d["orders"] > 0), lambda d: d["revenue"] / d["orders"]
-            ),
-            "n_days": F.size("train"),
-        }
-    )
-    df = df.withColumns(
-        {
-            "n_obs": F.size("rev"),
-            "est_aov": order_value(F.col("sold")),
-            "order_base": F.greatest(F.lit(0.0), A.weighted_mean(A.winsorised(A.last(F.col("ord"), BASELINE_WINDOW)))),
-            "order_factors": order_factors(F.col("obs"), F.col("rev")),
-            "aov_factors": aov_factors(F.col("sold")),
-            "spike_cap": A.spike_limit(F.col("rev")),
-            "recent_spikes": F.when(
-                F.size("rev") >= 5,
-                A.let(A.last(F.col("rev"), SPIKE_WINDOW), lambda r: A.let(
-                    A.spike_limit(r), lambda cap: F.size(F.filter(r, lambda x: A.is_spike(x, cap)))
-                )),
-            ),
-        }
-    )
-    df = df.withColumns(lag_features())
-    production = F.col("actual").isNull()
-    fallback = F.coalesce(A.log_baseline(A.last(F.col("rev"), BASELINE_WINDOW)), F.lit(0.0))
+    df = cutoffs.withColumn("obs", F.filter("train", lambda d: d["observed"])).withColumns(_slice_columns())
+    df = df.withColumns(_estimate_columns()).withColumns(lag_features())
     # Without a usable order value the backtest skips the day; production falls back.
-    return df.filter(production | (F.col("est_aov").isNotNull() & F.col("order_base").isNotNull())).withColumns(
-        {
-            "aov": F.coalesce("est_aov", fallback),
-            "order_base": F.coalesce("order_base", F.lit(0.0)),
-            "spike_days": F.size(F.filter("rev", lambda x: A.is_spike(x, F.col("spike_cap")))),
-        }
-    )
+    usable = F.col("actual").isNull() | (F.col("est_aov").isNotNull() & F.col("order_base").isNotNull())
+    return df.filter(usable).withColumns(_settled_columns())
 
 
 def order_value(sold: Column) -> Column:
@@ -171,6 +178,7 @@ def aov_factors(sold: Column) -> Column:
     return _weekday_factors(values, F.size(sold) >= 7, factor)
 
 
+@cache
 def lag_features() -> dict[str, Column]:
     rev, orders, aovs = F.col("rev"), F.col("ord"), F.col("aovs")
     enough = F.size(rev) >= TREND_DAYS
@@ -239,14 +247,11 @@ def targets(est: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def predictions(tgt: DataFrame) -> DataFrame:
-    """Adds V4 and V4.1 orders, order value and revenue."""
-    base, aov = F.col("order_base"), F.col("aov")
+@cache
+def _prediction_columns() -> list[dict[str, Column]]:
+    base, aov, damp = F.col("order_base"), F.col("aov"), F.col("damping")
     v4_expected = F.least(F.greatest(F.lit(0.0), base * F.col("f_orders")), base * (1.0 + MAX_ORDER_GROWTH))
-    damp = F.col("damping")
     trended = base * F.greatest(F.lit(0.0), 1.0 + damp * (F.col("order_trend") - 1.0))
-    nudge_o = _nudge("orders_lag1", "orders_lag7", "orders_rolling7", *NUDGE_ORDERS)
-    nudge_a = _nudge("aov_lag1", "aov_lag7", "aov_rolling7", *NUDGE_AOV)
     floor_aov = F.greatest(aov, F.lit(MIN_AOV))
     w0, w1, w2 = AOV_BLEND
     blended = (
@@ -254,25 +259,21 @@ def predictions(tgt: DataFrame) -> DataFrame:
         + F.coalesce(F.col("recent_aov"), floor_aov) * w1
         + F.coalesce(F.col("previous_aov"), floor_aov) * w2
     ) / (w0 + w1 + w2)
-    raw_aov = blended * F.greatest(F.lit(0.0), 1.0 + damp * (F.col("aov_trend") - 1.0)) * F.col("f_aov") * nudge_a
-    df = tgt.withColumns(
-        {
-            "v4_orders": whole_orders(v4_expected),
-            "v4_aov": aov * F.col("f_aov"),
-            "_trended": trended,
-            "_nudge": nudge_o,
-            "_aov0": F.least(F.greatest(F.lit(MIN_AOV), raw_aov), floor_aov * MAX_AOV_MULTIPLE),
-        }
+    trend_aov = F.greatest(F.lit(0.0), 1.0 + damp * (F.col("aov_trend") - 1.0))
+    raw_aov = blended * trend_aov * F.col("f_aov") * _nudge("aov_lag1", "aov_lag7", "aov_rolling7", *NUDGE_AOV)
+    first = {
+        "v4_orders": whole_orders(v4_expected),
+        "v4_aov": aov * F.col("f_aov"),
+        "_trended": trended,
+        "_nudge": _nudge("orders_lag1", "orders_lag7", "orders_rolling7", *NUDGE_ORDERS),
+        "_aov0": F.least(F.greatest(F.lit(MIN_AOV), raw_aov), floor_aov * MAX_AOV_MULTIPLE),
+    }
+    expected = F.least(
+        F.greatest(F.lit(0.0), F.col("_trended") * F.col("f_orders") * F.col("_nudge")),
+        F.col("_trended") * (1.0 + MAX_ORDER_GROWTH),
     )
-    df = df.withColumn(
-        "expected_orders",
-        F.least(
-            F.greatest(F.lit(0.0), F.col("_trended") * F.col("f_orders") * F.col("_nudge")),
-            F.col("_trended") * (1.0 + MAX_ORDER_GROWTH),
-        ),
-    ).withColumn("predicted_orders", whole_orders(F.col("expected_orders")))
     orders = F.col("predicted_orders")
-    # Calibration toward what the revenue lags suggest, then damping of ordinary days.
+    # Calibration toward what the revenue lags suggest.
     positives = F.filter(
         F.array("revenue_lag1", "revenue_lag7", "revenue_rolling7"), lambda x: x.isNotNull() & (x > 0)
     )
@@ -282,22 +283,31 @@ def predictions(tgt: DataFrame) -> DataFrame:
         F.lit(MIN_AOV),
         F.col("_aov0") * clamp(1.0 + weight * (reference / F.col("_aov0") - 1.0), low, high),
     )
-    df = df.withColumn(
-        "_aov1", F.when((orders > 0) & (F.size(positives) > 0) & (reference > 0), calibrated).otherwise(F.col("_aov0"))
-    )
+    usable = (orders > 0) & (F.size(positives) > 0) & (reference > 0)
+    # Damping of ordinary days; corroborated repeated spikes are left alone.
     dear = (F.col("recent_aov") >= aov * REGIME_AOV_RATIO) & (F.col("aov_trend") >= REGIME_TREND) & (aov > 0)
     growth = F.when(base > 0, F.try_divide(orders, base)).otherwise(1.0)
     busy = (F.col("order_trend") >= REGIME_TREND) | (growth >= REGIME_ORDER_GROWTH)
     regime = (damp == DAMP_REPEATED) & (F.coalesce(dear, F.lit(False)) | busy)
     damped = F.greatest(F.lit(MIN_AOV), F.col("_aov1") * F.when(regime, 1.0).otherwise(NORMAL_DAY_DAMPING))
-    return (
-        df.withColumn("predicted_aov", F.when(orders > 0, damped).otherwise(F.col("_aov1")))
-        .withColumn("predicted_revenue", orders * F.col("predicted_aov"))
-        .withColumn("v4_revenue", F.col("v4_orders") * F.col("v4_aov"))
-        .drop("_trended", "_nudge", "_aov0", "_aov1")
-    )
+    return [
+        first,
+        {"expected_orders": expected},
+        {"predicted_orders": whole_orders(F.col("expected_orders"))},
+        {"_aov1": F.when(usable, calibrated).otherwise(F.col("_aov0"))},
+        {"predicted_aov": F.when(orders > 0, damped).otherwise(F.col("_aov1"))},
+        {"predicted_revenue": orders * F.col("predicted_aov"), "v4_revenue": F.col("v4_orders") * F.col("v4_aov")},
+    ]
+
+
+def predictions(tgt: DataFrame) -> DataFrame:
+    """Adds V4 and V4.1 orders, order value and revenue."""
+    for stage in _prediction_columns():
+        tgt = tgt.withColumns(stage)
+    return tgt.drop("_trended", "_nudge", "_aov0", "_aov1")
 
 
+@cache
 def error_spread() -> Column:
     """Dispersion of the reconstructed history. Unobserved days enter as zero residuals, spikes do not."""
     kept = F.filter("train", lambda d: ~(d["observed"] & A.is_spike(d["revenue"], F.col("spike_cap"))))
@@ -308,6 +318,7 @@ def error_spread() -> Column:
     return F.greatest(spread, F.col("aov") * 0.10, F.lit(1.0))
 
 
+@cache
 def legacy_prediction() -> Column:
     """One-step prediction of the older moving-average model for weekday ``wd``."""
     def parts(recent: Column) -> Column:
@@ -329,6 +340,12 @@ def legacy_prediction() -> Column:
     return F.when(F.col("n_obs") > 0, A.let(parts(A.last(F.col("rev"), BASELINE_WINDOW)), predict)).otherwise(0.0)
 
 
+@cache
+def legacy_day_factor() -> Column:
+    """Older weekday factor of weekday ``wd``."""
+    return F.get(legacy_factors(F.col("obs"), F.col("rev")), F.col("wd"))
+
+
 def legacy_slope(recent: Column, clipped: Column, cap: Column, n_obs: Column, rate: Column) -> Column:
     """Bounded slope, reduced for noisy windows and for short or sparse histories."""
     mean = A.mean(recent)
