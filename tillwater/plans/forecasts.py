@@ -9,7 +9,8 @@ from tillwater.functions import arrays
 from tillwater.functions.scalars import iso_day, rounded
 from tillwater.operators import analyst, checks, dashboard, explain, insights, notify
 from tillwater.operators.forecast import evaluate, model, older, series
-from tillwater.plans.relational import register
+from tillwater.plans.forecast_sql import backtest_ctes, model_ctes, points_ctes
+from tillwater.plans.relational import DAILY, register
 from tillwater.plans.sql import money, query, r, xsum
 from tillwater.session import stored
 from tillwater.sources.testdata import Tables
@@ -138,12 +139,36 @@ def robust_baselines(t):
     )
 
 
-@register("sales_forecast")
+MODEL = {**HIST, **model_ctes(HORIZON)}
+POINTS = {**MODEL, **points_ctes()}
+BACKTEST = {**MODEL, **backtest_ctes()}
+
+
+def point_rows(body: str, **extra: str) -> str:
+    return query("done", body, **POINTS, **extra)
+
+
+def ymd(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d') AS {c}"
+
+
+@register("sales_forecast", point_rows(f"SELECT * REPLACE ({ymd('forecast_date')}) FROM points"))
 def sales_forecast(t):
     return day_text(points(t), "forecast_date")
 
 
-@register("forecast_diagnostics")
+TWO = {"aov": "aov", "revenue_lag1": "r1", "revenue_lag7": "r7", "orders_lag1": "o1", "orders_lag7": "o7", "aov_lag1": "a1",
+       "aov_lag7": "a7", "revenue_rolling7": "rr", "aov_rolling7": "ar"}
+FOUR = {"revenue_trend": "rt", "order_trend": "ot", "aov_trend": "atr"}
+
+
+@register("forecast_diagnostics", query("done", f"""SELECT e.user_id, {r('base', 3)} AS order_baseline, w.fo AS weekday_factors,
+    w.fa AS aov_weekday_factors, spike_days, COALESCE(spikes, 0) AS spike_count_recent, {r('oo', 3)} AS orders_rolling7,
+    CAST(damp AS DOUBLE) AS damping, {", ".join(f"{r(v)} AS {k}" for k, v in TWO.items())},
+    {", ".join(f"{r(v, 4)} AS {k}" for k, v in FOUR.items())}
+    FROM e5 e JOIN (SELECT user_id, known, string_agg(CAST({r('fo', 4)} AS VARCHAR), '|' ORDER BY wd) AS fo,
+      string_agg(CAST({r('fa', 4)} AS VARCHAR), '|' ORDER BY wd) AS fa FROM wk GROUP BY ALL) w
+    ON w.user_id = e.user_id AND w.known = e.known WHERE e.adate IS NULL""", **MODEL))
 def forecast_diagnostics(t):
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|").alias(c)
     d = model.diagnostics(predicted(t, 1))
@@ -152,22 +177,43 @@ def forecast_diagnostics(t):
     )
 
 
-@register("forecast_backtest")
+ERRORS = ", ".join(f"""{r(m)} AS {m}_prediction, {r(f'abs(actual - {m})')} AS {m}_absolute_error,
+    {r(f'abs(actual - {m}) / nullif(abs(actual), 0) * 100')} AS {m}_error_percent""" for m in ("v4", "v4_1", "baseline"))
+
+
+@register("forecast_backtest", query("done", f"""SELECT user_id, {ymd('date')}, dayname(bt.date) AS weekday, {r('actual')} AS actual_revenue,
+    {ERRORS}, CAST(orders AS BIGINT) AS orders, {r('actual / nullif(orders, 0)')} AS aov FROM bt""", **BACKTEST))
 def forecast_backtest(t):
     return day_text(evaluate.evaluation_days(evaluate.backtest(predicted(t, 1))), "date")
 
 
-@register("forecast_metrics")
+METRIC_NAMES = ["mae", "rmse", "mape", "wape", "smape"]
+RUN = ", ".join(f"{r(m, 4)} AS {m}" for m in METRIC_NAMES)
+
+
+@register("forecast_metrics", query("done", f"""SELECT user_id, evaluation_days, {RUN}, {r('baseline_wape', 4)} AS baseline_wape,
+    {r('v4_wape', 4)} AS v4_wape FROM metrics""", **BACKTEST))
 def forecast_metrics(t):
     return evaluate.rounded_metrics(evaluate.metrics(evaluate.backtest(predicted(t, 1))))
 
 
-@register("model_comparison")
+def gain(old: str, new: str) -> str:
+    return r(f"({old} - {new}) / nullif({old}, 0) * 100")
+
+
+@register("model_comparison", query("done", f"""SELECT user_id, {r('baseline_wape', 4)} AS baseline_wape, {r('v4_wape', 4)} AS v4_wape,
+    {r('wape', 4)} AS v4_1_wape, {gain('baseline_wape', 'v4_wape')} AS v4_over_baseline, {gain('baseline_wape', 'wape')} AS v4_1_over_baseline,
+    {gain('v4_wape', 'wape')} AS v4_1_over_v4, CASE WHEN baseline_wape <= v4_wape AND baseline_wape <= wape THEN 'baseline'
+      WHEN v4_wape <= wape THEN 'v4' ELSE 'v4_1' END AS best_model FROM metrics""", **BACKTEST))
 def model_comparison(t):
     return evaluate.comparison(evaluate.metrics(evaluate.backtest(predicted(t, 1))))
 
 
-@register("evaluation_reliability")
+@register("evaluation_reliability", query("done", """SELECT user_id, evaluation_days,
+    CASE WHEN evaluation_days >= 14 THEN 'reliable' ELSE 'limited' END AS status,
+    CASE WHEN evaluation_days >= 14 THEN 'high' WHEN evaluation_days >= 7 THEN 'medium' ELSE 'low' END AS confidence,
+    CASE WHEN evaluation_days < 14 THEN 'Forecast accuracy evaluation is based on a limited number of observed holdout days.' END AS message
+    FROM metrics""", **BACKTEST))
 def evaluation_reliability(t):
     return evaluate.reliability(evaluate.metrics(evaluate.backtest(predicted(t, 1))))
 
@@ -177,7 +223,13 @@ def older_forecast(t):
     return day_text(older.forecast(series.as_arrays(history(t)), HORIZON), "forecast_date")
 
 
-@register("older_backtest")
+OLDER_BACKTEST = {**HIST, **{k: v for k, v in model_ctes(1, 14, 3).items() if k in ("idx", "cut", "tr", "e1", "e2")},
+                  "lg": "SELECT user_id, known, rev, obs, nd, isodow(adate) - 1 AS wd FROM e2 WHERE adate IS NOT NULL AND len(rev) > 0",
+                  **{k: v for k, v in backtest_ctes().items() if k.startswith("g") or k == "legacy"}}
+
+
+@register("older_backtest", query("done", f"""SELECT l.user_id, strftime(e.adate, '%Y-%m-%d') AS date, e.actual, {r('l.baseline')} AS predicted
+    FROM legacy l JOIN e2 e ON e.user_id = l.user_id AND e.known = l.known""", **OLDER_BACKTEST))
 def older_backtest(t):
     b = older.backtest(series.as_arrays(history(t)))
     return day_text(b, "date").withColumn("predicted", rounded(F.col("predicted"), 2))
@@ -188,37 +240,60 @@ def stored_forecast(t: Tables) -> DataFrame:
     return evaluate.stored_forecast(model.forecast_points(p), evaluate.metrics(evaluate.backtest(p)), END)
 
 
-@register("stored_forecast")
+STORED = {**POINTS, **backtest_ctes(), "kept": f"""SELECT p.* EXCLUDE (v4_revenue, v4_orders, v4_aov), {RUN},
+    COALESCE(evaluation_days, 0) AS evaluation_days, 'orders-times-dynamic-aov-robust-seasonal-trend-adjusted' AS algorithm,
+    'sales-forecast-v4.1' AS model_version, '{END}' AS generated_at FROM points p LEFT JOIN metrics m ON m.user_id = p.user_id"""}
+
+
+@register("stored_forecast", query("done", f"SELECT * REPLACE ({ymd('forecast_date')}) FROM kept", **STORED))
 def stored_forecast_rows(t):
     return day_text(stored_forecast(t), "forecast_date", "generated_at")
 
 
-@register("forecast_dashboard")
+@register("forecast_dashboard", query("done", f"""SELECT user_id, COUNT(*) AS horizon, {money(xsum('predicted_revenue'))} AS total_predicted_revenue,
+    any_value(model_version) AS model_version, any_value(algorithm) AS algorithm, any_value(evaluation_days) AS evaluation_days,
+    {", ".join(f"any_value({m}) AS {m}" for m in METRIC_NAMES)},
+    CASE WHEN any_value(evaluation_days) < 7 THEN 'insufficient' WHEN any_value(evaluation_days) < 14 THEN 'limited' ELSE 'reliable' END AS evaluation_status,
+    CASE WHEN any_value(evaluation_days) < 14 THEN 'low' WHEN any_value(evaluation_days) < 30 THEN 'medium' ELSE 'high' END AS evaluation_confidence
+    FROM kept GROUP BY user_id""", **STORED))
 def forecast_dashboard(t):
     return dashboard.forecast_metadata(stored_forecast(t))
 
 
-@register("forecast_chart")
+@register("forecast_chart", point_rows(f"""SELECT user_id, strftime(day, '%Y-%m-%d') AS date, 'history' AS kind, revenue, CAST(orders AS DOUBLE) AS orders,
+    CAST(NULL AS DOUBLE) AS lower_bound, CAST(NULL AS DOUBLE) AS upper_bound FROM daily
+    UNION ALL SELECT user_id, strftime(forecast_date, '%Y-%m-%d'), 'forecast', predicted_revenue, CAST(predicted_orders AS DOUBLE), lower_bound, upper_bound
+    FROM points""", daily=DAILY))
 def forecast_chart(t):
     return day_text(dashboard.forecast_chart(dashboard.daily_revenue(t.completed), points(t)), "date")
 
 
-@register("forecast_checks")
+@register("forecast_checks", point_rows("""SELECT unnest(['finite_revenue', 'finite_orders', 'finite_aov', 'reconciles', 'bounds']) AS name,
+    unnest([COUNT(*) FILTER (predicted_revenue IS NULL), COUNT(*) FILTER (predicted_orders IS NULL), COUNT(*) FILTER (predicted_aov IS NULL),
+      COUNT(*) FILTER (abs(predicted_orders * predicted_aov - predicted_revenue) > 1), COUNT(*) FILTER (lower_bound > upper_bound)]) AS violations
+    FROM points"""))
 def forecast_checks(t):
     return checks.forecast_checks(points(t))
 
 
-@register("next_week")
+RANKED = {"ranked": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY forecast_date) AS rn FROM points"}
+
+
+@register("next_week", point_rows(f"""SELECT *, {money('revenue / nullif(orders, 0)')} AS aov FROM (
+    SELECT user_id, {money(xsum('predicted_revenue'))} AS revenue, CAST(SUM(predicted_orders) AS BIGINT) AS orders
+    FROM ranked WHERE rn <= 7 GROUP BY user_id)""", **RANKED))
 def next_week(t):
     return analyst.next_week(points(t))
 
 
-@register("confidence_band")
+@register("confidence_band", point_rows(f"""SELECT user_id, {ymd('forecast_date')}, {money('upper_bound - lower_bound')} AS band_width,
+    {money('AVG(predicted_revenue) OVER (PARTITION BY user_id)')} AS mean_revenue FROM points"""))
 def confidence_band(t):
     return day_text(analyst.confidence_band(points(t)), "forecast_date")
 
 
-@register("latest_forecast_rows")
+@register("latest_forecast_rows", point_rows(f"""SELECT * REPLACE ({ymd('forecast_date')}) FROM points p
+    ORDER BY p.forecast_date DESC, user_id LIMIT 5"""))
 def latest_forecast_rows(t):
     return day_text(points(t).orderBy(F.desc("forecast_date"), "user_id").limit(5), "forecast_date")
 
@@ -233,24 +308,50 @@ def all_insights(t: Tables) -> tuple[dict[str, DataFrame], DataFrame]:
     return insights.insights(pts, daily, coverage, model.diagnostics(p)), pts
 
 
-@register("revenue_outlook")
+@register("revenue_outlook", point_rows(f"""SELECT user_id, {r('SUM(predicted_revenue) FILTER (rn <= 7)')} AS next_7_days,
+    {r('SUM(predicted_revenue)')} AS next_30_days, {r('AVG(predicted_revenue)')} AS average_daily_revenue,
+    strftime(arg_max(forecast_date, ROW(predicted_revenue, -rn)), '%Y-%m-%d') AS peak_date, MAX(predicted_revenue) AS peak_revenue,
+    strftime(arg_min(forecast_date, ROW(predicted_revenue, rn)), '%Y-%m-%d') AS lowest_date, MIN(predicted_revenue) AS lowest_revenue
+    FROM ranked GROUP BY user_id""", **RANKED))
 def revenue_outlook(t):
     return day_text(insights.revenue_outlook(points(t)), "peak_date", "lowest_date")
 
 
-@register("forecast_trends")
+def way(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN 'insufficient-data' WHEN {c} > 5 THEN 'increasing' WHEN {c} < -5 THEN 'decreasing' ELSE 'stable' END"
+
+
+WEEK = {**RANKED, "weeks": """SELECT p.user_id, po, pr, ro, rr, rr / nullif(ro, 0) AS ra, CASE WHEN ro > 0 THEN pr / nullif(po, 0) END AS pa FROM (
+    SELECT user_id, SUM(expected_orders) AS po, SUM(predicted_revenue) AS pr FROM ranked WHERE rn <= 7 GROUP BY user_id) p
+    LEFT JOIN (SELECT user_id, SUM(orders) AS ro, SUM(revenue) AS rr FROM (
+      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC) AS k FROM hist WHERE observed) WHERE k <= 7 GROUP BY user_id) h
+    ON h.user_id = p.user_id""",
+    "moves": """SELECT *, (po - ro) / nullif(abs(ro), 0) * 100 AS d, (pa - ra) / nullif(abs(ra), 0) * 100 AS a,
+    (pr - rr) / nullif(abs(rr), 0) * 100 AS v FROM weeks"""}
+
+
+@register("forecast_trends", point_rows(f"""SELECT user_id, {way('d')} AS demand_direction, {r('d')} AS demand_change, {way('a')} AS aov_direction,
+    {r('a')} AS aov_change, {way('v')} AS revenue_direction, {r('v')} AS revenue_change, {money('ro')} AS recent_orders,
+    {money('po')} AS projected_orders, {r('ra')} AS recent_aov, {r('pa')} AS projected_aov, {money('rr')} AS recent_revenue,
+    {money('pr')} AS projected_revenue FROM moves""", **WEEK))
 def forecast_trends(t):
     return insights.trends(points(t), history(t))
 
 
-@register("peak_days")
+@register("peak_days", point_rows(f"""SELECT user_id, {ymd('forecast_date')}, predicted_revenue, {r('(predicted_revenue - m) / m * 100')} AS deviation_percent,
+    row_number() OVER (PARTITION BY user_id ORDER BY predicted_revenue DESC, p.forecast_date) AS rank
+    FROM (SELECT *, AVG(predicted_revenue) OVER (PARTITION BY user_id) AS m FROM points) p
+    WHERE m > 0 AND predicted_revenue >= m * 1.25
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY predicted_revenue DESC, p.forecast_date) <= 3"""))
 def peak_days(t):
-    return day_text(insights.peak_days(points(t)).filter("rank <= 3"), "forecast_date")
+    return day_text(insights.peak_days(points(t)).filter("rank <= 3"), "forecast_date").withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("lowest_days")
+@register("lowest_days", point_rows(f"""SELECT user_id, {ymd('forecast_date')}, predicted_revenue, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY predicted_revenue, rn) AS rank FROM ranked WHERE rn <= 7) q
+    WHERE rank <= 2""", **RANKED))
 def lowest_days(t):
-    return day_text(insights.lowest_days(points(t)), "forecast_date")
+    return day_text(insights.lowest_days(points(t)), "forecast_date").withColumn("rank", F.col("rank").cast("long"))
 
 
 @register("risk_alerts")
