@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,8 +47,10 @@ def full_rank(df: DataFrame, keys: list[str], order: list[Column], rank: str = "
     )
     earlier = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    return (
-        placed.join(slices, [*keys, "_slice"])
-        .withColumn(rank, F.col("_before") + F.col("_place") - F.col("_first") + 1)
-        .drop("_place", "_slice", "_n", "_first", "_before")
+    # Null is a key of its own here.
+    own = [*keys, "_slice"]
+    slices = slices.select(*[F.col(k).alias(f"_k_{k}") for k in own], "_before", "_first")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in own])
+    return placed.join(slices, same).select(
+        *df.columns, (F.col("_before") + F.col("_place") - F.col("_first") + 1).alias(rank)
     )
