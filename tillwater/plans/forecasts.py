@@ -9,7 +9,8 @@ from tillwater.functions import arrays
 from tillwater.functions.scalars import iso_day, rounded
 from tillwater.operators import analyst, checks, dashboard, explain, insights, notify
 from tillwater.operators.forecast import evaluate, model, older, series
-from tillwater.plans.forecast_sql import backtest_ctes, model_ctes, points_ctes
+from tillwater.plans.forecast_sql import LEGACY, backtest_ctes, model_ctes, points_ctes, wmean
+from tillwater.plans.insight_sql import ADVICE, EXPLAINED, NOTES, risks
 from tillwater.plans.relational import DAILY, register
 from tillwater.plans.sql import money, query, r, xsum
 from tillwater.session import stored
@@ -218,7 +219,23 @@ def evaluation_reliability(t):
     return evaluate.reliability(evaluate.metrics(evaluate.backtest(predicted(t, 1))))
 
 
-@register("older_forecast")
+OLDER = {
+    **HIST, **{k: v for k, v in model_ctes().items() if k in ("idx", "cut", "tr", "e1", "e2")},
+    "base": f"""SELECT *, CASE WHEN list_sum(ords) > 0 THEN {wmean('ords[-14:]')} END AS order_base FROM (
+      SELECT *, list_transform(t, lambda x: floor(x.o)) AS ords FROM e2 WHERE adate IS NULL)""",
+    "lg": """SELECT user_id, step AS known, rev, obs, nd, date, isodow(date) - 1 AS wd FROM (
+      SELECT *, CAST(last_date + CAST(step AS INTEGER) AS DATE) AS date FROM (SELECT *, unnest(range(1, 31)) AS step FROM base))""",
+    **{k: v for k, v in LEGACY.items() if k != "legacy"},
+    "o1": """SELECT *, least(greatest(greatest(0.0, b + slope * known) * f, 0.5 * b * f), greatest(1.5 * b * f, b * f + min_error)) AS p FROM g4""",
+    "o2": "SELECT *, greatest(0.10 * b * f, 1.0, p * least(0.25, 0.10 + known / 30.0 * 0.15)) AS reach FROM o1",
+    "steps": """SELECT user_id, 1 AS k, order_base, floor(order_base) AS c, order_base - floor(order_base) AS rest FROM base
+      UNION ALL SELECT user_id, k + 1, order_base, floor(rest + order_base), rest + order_base - floor(rest + order_base) FROM steps WHERE k < 30""",
+}
+
+
+@register("older_forecast", query("done", f"""SELECT o.user_id, strftime(o.date, '%Y-%m-%d') AS forecast_date, {r('p')} AS predicted_revenue,
+    CAST(s.c AS BIGINT) AS predicted_orders, {r('greatest(0.0, p - reach)')} AS lower_bound, {r('p + reach')} AS upper_bound,
+    'sales-forecast-v2' AS model_version FROM o2 o JOIN steps s ON s.user_id = o.user_id AND s.k = o.known""", **OLDER).replace("WITH ", "WITH RECURSIVE ", 1))
 def older_forecast(t):
     return day_text(older.forecast(series.as_arrays(history(t)), HORIZON), "forecast_date")
 
@@ -354,25 +371,30 @@ def lowest_days(t):
     return day_text(insights.lowest_days(points(t)), "forecast_date").withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("risk_alerts")
+RISKS = risks(END)
+ALL_NOTES = {**WEEK, **RISKS, **ADVICE, **EXPLAINED, **NOTES}
+
+
+@register("risk_alerts", point_rows("SELECT * FROM risk", **RISKS))
 def risk_alerts(t):
-    return all_insights(t)[0]["risks"]
+    return all_insights(t)[0]["risks"].withColumn("alert_no", F.col("alert_no").cast("long"))
 
 
-@register("business_recommendations")
+@register("business_recommendations", point_rows("SELECT * FROM advice", **WEEK, **RISKS, **ADVICE))
 def business_recommendations(t):
     rows = all_insights(t)[0]["recommendations"]
-    return rows.withColumn("supporting_dates", F.array_join("supporting_dates", "|"))
+    return rows.withColumn("supporting_dates", F.array_join("supporting_dates", "|")).withColumn("place", F.col("place").cast("long"))
 
 
-@register("forecast_explanations")
+@register("forecast_explanations", point_rows("SELECT * EXCLUDE (day) FROM explained", **EXPLAINED))
 def forecast_explanations(t):
     rows = explain.explain_days(points(t))
     text = F.array_join(F.transform("reasons", lambda x: F.concat_ws(" / ", x["type"], x["message"], x["impact"])), "|")
     return day_text(rows.withColumn("reasons", text), "date")
 
 
-@register("first_explained_days")
+@register("first_explained_days", point_rows("""SELECT * EXCLUDE (day, reasons) FROM explained
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY day) <= 7""", **EXPLAINED))
 def first_explained_days(t):
     return day_text(explain.first_days(explain.explain_days(points(t))), "date").drop("reasons")
 
@@ -386,16 +408,20 @@ def notification_run(t: Tables) -> tuple[DataFrame, DataFrame]:
     return notify.split_new(batch, before, END)
 
 
-@register("notifications_created")
+@register("notifications_created", point_rows(f"""SELECT *, '{END}' AS created_at, row_number() OVER (PARTITION BY user_id
+    ORDER BY type, title, related_date NULLS FIRST, related_metric) AS rank FROM fresh""", **ALL_NOTES))
 def notifications_created(t):
-    return day_text(notify.listing(notification_run(t)[0], 100), "related_date", "created_at")
+    listed = day_text(notify.listing(notification_run(t)[0], 100), "related_date", "created_at")
+    return listed.withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("notifications_skipped")
+@register("notifications_skipped", point_rows("""SELECT user_id, type, title, related_metric, related_date, 1 AS times
+    FROM notes WHERE type = 'risk'""", **ALL_NOTES))
 def notifications_skipped(t):
     return day_text(notification_run(t)[1], "related_date")
 
 
-@register("notification_counts")
+@register("notification_counts", point_rows("""SELECT user_id, COUNT(*) AS notifications, COUNT(*) AS unread FROM fresh
+    GROUP BY user_id""", **ALL_NOTES))
 def notification_counts(t):
     return notify.unread_counts(notification_run(t)[0])
