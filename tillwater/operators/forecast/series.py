@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwater.functions.scalars import clamp, exact_sum, money
+from tillwater.functions.scalars import exact_sum, money
 from tillwater.operators.dashboard import completed
 
 LOOKBACK_DAYS = 90
@@ -74,7 +74,11 @@ def normalise(points: DataFrame, series: str = "user_id") -> DataFrame:
 
 def as_arrays(daily: DataFrame, series: str = "user_id") -> DataFrame:
     """One row per series with its days in order. The array holds days, not orders,
-    so its length is the calendar span of the series."""
+    so its length is the calendar span of the series.
+
+    The rows are few and small but costly to evaluate later on, so the number of
+    partitions is stated: adaptive execution would merge them by size.
+    """
     day = F.struct(
         "date",
         F.weekday("date").alias("wd"),
@@ -82,7 +86,8 @@ def as_arrays(daily: DataFrame, series: str = "user_id") -> DataFrame:
         F.col("orders").cast("double").alias("orders"),
         "observed",
     )
-    return daily.groupBy(series).agg(F.array_sort(F.collect_list(day)).alias("hist"))
+    partitions = int(daily.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return daily.repartition(partitions, series).groupBy(series).agg(F.array_sort(F.collect_list(day)).alias("hist"))
 
 
 def series_quality(daily: DataFrame, series: str = "user_id") -> DataFrame:
@@ -104,7 +109,3 @@ def series_quality(daily: DataFrame, series: str = "user_id") -> DataFrame:
             ((n < 14) | (coverage < 0.5)).alias("is_sparse"),
         )
     )
-
-
-def clipped(c: Column, low: float, high: float) -> Column:
-    return clamp(c, low, high)
