@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tillwater.functions.quantiles import exact_median
 from tillwater.functions.ranking import latest_per_key, top_per_key
 from tillwater.functions.scalars import exact_sum, iso_day, money, ratio, rounded
+from tillwater.session import stored
 
 COMPLETED = "completed"
 # Display defaults.
@@ -74,18 +75,23 @@ def monthly_revenue(orders: DataFrame, year: int | None = None) -> DataFrame:
         .groupBy("user_id", F.year("order_date").alias("year"), F.month("order_date").alias("month"))
         .agg(exact_sum(F.col("total_amount")).cast("double").alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
-    years = by_month.groupBy("user_id").agg(F.max("year").alias("year"))
-    if year is not None:
-        if not 2000 <= year <= 2100:
-            raise ValueError("year must lie in 2000..2100")
-        years = years.withColumn("year", F.lit(year))
-    spine = years.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
-    return spine.join(by_month, ["user_id", "year", "month"], "left").select(
+    if year is not None and not 2000 <= year <= 2100:
+        raise ValueError("year must lie in 2000..2100")
+    # The months of a tenant are few: one row per tenant holds them, and the spine looks them up.
+    month = F.struct(F.col("year") * 100 + F.col("month"), F.struct("revenue", "orders").alias("v"))
+    tenants = by_month.groupBy("user_id").agg(
+        (F.max("year") if year is None else F.lit(year)).alias("year"),
+        F.map_from_entries(F.collect_list(month)).alias("_months"),
+    )
+    spine = tenants.withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12)))).withColumn(
+        "_v", F.try_element_at("_months", F.col("year") * 100 + F.col("month"))
+    )
+    return spine.select(
         "user_id",
         F.col("year").cast("long").alias("year"),
         F.col("month").cast("long").alias("month"),
-        money(F.col("revenue")).alias("revenue"),
-        F.coalesce("orders", F.lit(0)).alias("orders"),
+        money(F.col("_v.revenue")).alias("revenue"),
+        F.coalesce("_v.orders", F.lit(0)).alias("orders"),
     )
 
 
@@ -130,10 +136,13 @@ def product_performance(items: DataFrame, orders: DataFrame, products: DataFrame
         .groupBy("user_id", "product_id", "order_id")
         .agg(exact_sum(line).alias("_rev"), F.sum("quantity").alias("_qty"))
     )
-    sold = per_order.groupBy("user_id", "product_id").agg(
-        F.sum("_qty").alias("quantity_sold"),
-        F.sum("_rev").cast("double").alias("_revenue"),
-        F.count(F.lit(1)).alias("order_count"),
+    # Needed per product and per tenant: written once, so the lines are joined once.
+    sold = stored(
+        per_order.groupBy("user_id", "product_id").agg(
+            F.sum("_qty").alias("quantity_sold"),
+            F.sum("_rev").cast("double").alias("_revenue"),
+            F.count(F.lit(1)).alias("order_count"),
+        )
     )
     totals = sold.groupBy("user_id").agg(F.sum(F.col("_revenue").cast("decimal(28,6)")).cast("double").alias("_all"))
     return (
@@ -224,7 +233,7 @@ def latest_clv(clv: DataFrame) -> DataFrame:
 
 def clv_summary(clv: DataFrame) -> DataFrame:
     """Totals, exact median, thresholds and top customer over the latest value per customer."""
-    latest = latest_clv(clv).withColumn("predicted_value", money(F.col("predicted_value")))
+    latest = stored(latest_clv(clv).withColumn("predicted_value", money(F.col("predicted_value"))))
     base = latest.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("customer_count"),
         exact_sum(F.col("predicted_value")).cast("double").alias("_total"),
@@ -383,14 +392,28 @@ def daily_revenue(orders: DataFrame) -> DataFrame:
         .groupBy("user_id", F.to_date("order_date").alias("day"))
         .agg(exact_sum(F.col("total_amount")).cast("double").alias("revenue"), F.count(F.lit(1)).alias("orders"))
     )
-    span = by_day.groupBy("user_id").agg(F.min("day").alias("_a"), F.max("day").alias("_z"))
-    spine = span.select("user_id", F.explode(F.sequence("_a", "_z")).alias("day"))
-    return spine.join(by_day, ["user_id", "day"], "left").select(
-        "user_id",
-        "day",
-        money(F.col("revenue")).alias("revenue"),
-        F.coalesce("orders", F.lit(0)).alias("orders"),
+    return filled_days(by_day, "user_id", "day", ["revenue", "orders"]).select(
+        "user_id", "day", money(F.col("revenue")).alias("revenue"), F.coalesce("orders", F.lit(0)).alias("orders")
+    )
+
+
+def filled_days(
+    by_day: DataFrame, series: str, day: str, values: list[str], start: Column | None = None, end: Column | None = None
+) -> DataFrame:
+    """Every day from ``start`` to ``end`` (default: first to last) of each series, nulls where it has none.
+
+    The days of a series are gathered into a map, whose size is its calendar
+    span, and looked up along the calendar: no second pass over the facts.
+    """
+    entry = F.struct(F.col(day), F.struct(*values).alias("_v"))
+    spans = by_day.groupBy(series).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_days"), F.min(day).alias("_a"), F.max(day).alias("_z")
+    )
+    calendar = F.sequence(F.col("_a") if start is None else start, F.col("_z") if end is None else end)
+    filled = spans.select(series, "_days", F.explode(calendar).alias(day)).withColumn(
+        "_v", F.try_element_at("_days", F.col(day))
     )
+    return filled.select(series, day, *[F.col(f"_v.{c}").alias(c) for c in values])
 
 
 def evaluation_labels(evaluation_days: Column) -> tuple[Column, Column]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwater.functions.scalars import exact_sum, money
-from tillwater.operators.dashboard import completed
+from tillwater.operators.dashboard import completed, filled_days
 
 LOOKBACK_DAYS = 90
 MAX_HORIZON, DEFAULT_HORIZON = 365, 30
@@ -30,8 +30,8 @@ def order_history(orders: DataFrame, as_of: str, series: str = "user_id", lookba
         .groupBy(series, F.to_date("order_date").alias("date"))
         .agg(exact_sum(F.col("total_amount")).cast("double").alias("_rev"), F.count(F.lit(1)).alias("_n"))
     )
-    calendar = by_day.select(series).distinct().select(series, F.explode(F.sequence(start, end)).alias("date"))
-    return calendar.join(by_day, [series, "date"], "left").select(
+    # Days outside the calendar are simply never looked up.
+    return filled_days(by_day, series, "date", ["_rev", "_n"], start, end).select(
         series,
         "date",
         money(F.col("_rev")).alias("revenue"),
@@ -61,9 +61,7 @@ def normalise(points: DataFrame, series: str = "user_id") -> DataFrame:
             F.max("observed").alias("observed"),
         )
     )
-    span = by_day.groupBy(series).agg(F.min("date").alias("_a"), F.max("date").alias("_z"))
-    calendar = span.select(series, F.explode(F.sequence("_a", "_z")).alias("date"))
-    return calendar.join(by_day, [series, "date"], "left").select(
+    return filled_days(by_day, series, "date", ["revenue", "orders", "observed"]).select(
         series,
         "date",
         F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
