@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwater.functions.scalars import rounded
 from tillwater.operators import analyst, basket, dashboard, recommend
 from tillwater.plans.relational import register
-from tillwater.plans.sql import money, query, r
+from tillwater.plans.sql import query, r
 from tillwater.sources.testdata import TENANTS, Tables
 
 

@@ -87,7 +87,6 @@ def gain(c: str) -> str:
     return f"CASE WHEN {c} > 20 THEN 'high' ELSE 'medium' END"
 
 
-RUPEE = "'₹' || "
 ENTRIES = [
     entry(1, "vd = 'decreasing'", adverse("v"), "revenue-risk", "Revenue Decline Risk", "'revenue'", "v",
           f"'Forecast revenue is ' || {fixed2('abs(v)')} || '% below recent observed revenue. Review demand-generation and conversion strategies"
