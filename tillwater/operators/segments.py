@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwater.functions.scalars import rounded
+from tillwater.session import stored
 
 AXES = ["recency", "frequency", "monetary", "average_order_value"]
 MAX_CLUSTERS, SEED, RESTARTS = 3, 42, 10
@@ -39,6 +40,8 @@ def cluster(features: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS
     Scaling divides by the sample standard deviation: against the population
     one all axes change by the same factor, which leaves the clusters alone.
     """
+    # Read by every restart: stored once. Each fit keeps its own scaled input in memory and releases it.
+    features = stored(features)
     n = usable(features).limit(max(k, 2)).count()
     if n < 2:
         raise BadFeatures("at least two customers are needed")
@@ -47,7 +50,7 @@ def cluster(features: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS
         VectorAssembler(inputCols=AXES, outputCol="_raw"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
     ])
-    scaled = prepare.fit(features).transform(features).persist()
+    scaled = prepare.fit(features).transform(features)
     models = [
         KMeans(k=min(k, n), seed=seed + i, initMode="k-means||", maxIter=300, tol=1e-4).fit(scaled) for i in range(restarts)
     ]
