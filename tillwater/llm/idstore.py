@@ -181,7 +181,7 @@ def write(docs: DataFrame, path: str, kind: str = "attached", end_id: int = 2, f
     made = stored(made.coalesce(1))
     bases = running_base(made, "shard", "n_records", "base")
     entries = (
-        records.join(bases, "shard")
+        records.join(F.broadcast(bases), "shard")
         .groupBy("doc_id")
         .agg(
             F.min(F.struct(F.col("base") + F.col("record"), "shard", "record")).alias("first"),
@@ -298,8 +298,8 @@ class Store:
         rows = places.repartition(spread, "shard").sortWithinPartitions("shard", "record").mapInPandas(
             fetch, f"doc_id {id_type}, shard int, record long, start_in_shard long, n_tokens long, ids binary"
         )
-        bases = running_base(self.made, "shard", "n_ids", "base")
-        return rows.join(bases, "shard").select(
+        bases = running_base(self.made, "shard", "n_ids", "base")  # a row for each shard
+        return rows.join(F.broadcast(bases), "shard").select(
             "doc_id", "shard", "record", (F.col("base") + F.col("start_in_shard")).alias("start"), "n_tokens", "ids"
         )
 

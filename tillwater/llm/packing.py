@@ -64,8 +64,9 @@ def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     parts = tokens.groupBy("part").agg(F.sum("n").alias("total"))
     base = running_base(parts, "part", "total", "base")
+    # A row for each task of the first pass, and one row: both are bounded by the plan, not by the data.
     total = parts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("all_ids"))
-    placed = tokens.join(base, "part").withColumn("at", F.col("base") + F.col("before"))
+    placed = tokens.join(F.broadcast(base), "part").withColumn("at", F.col("base") + F.col("before"))
     windows = F.sequence(F.expr(f"`at` div {length}"), F.expr(f"(`at` + n - 1) div {length}"))
     cut = placed.withColumn("sequence_id", F.explode(windows))
     border = F.col("sequence_id") * length
