@@ -22,8 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered by a worker; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Words that a worker learns before it lets go of those it hasn't met since it learnt as many before.
+REMEMBERED = 700_000
 
 _CHUNKS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space of either library, or of Python, less the plain kinds above.
@@ -36,12 +36,16 @@ class _Words(dict):
 
     def __init__(self, encode, prefix: str):
         super().__init__()
-        self.encode, self.prefix = encode, prefix
+        self.encode, self.prefix, self.older = encode, prefix, {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        out = self[word] = self.encode(self.prefix + word if word[:1] != "\n" else word)
+        out = self.older.get(word)
+        if out is None:
+            out = self.encode(self.prefix + word if word[:1] != "\n" else word)
+        self[word] = out
         return out
 
 
