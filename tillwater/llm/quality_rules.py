@@ -168,7 +168,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     (row,) = unused(docs, "_row")
     packed = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("doc_id", "text", row)
-    judged = measures(packed, [row]).filter("kept")
-    new = {"text": F.col("cleaned"), "n_chars": F.length("cleaned").cast("long")}
+    judged = measures(packed, [row])
+    # Generated and then filtered: a filter on the verdict itself would be pushed below and evaluate every rule again.
+    verdict = F.filter(F.array(F.struct("kept", "cleaned")), lambda x: x["kept"])
+    judged = judged.select(row, F.explode_outer(verdict).alias("good")).filter(F.col("good").isNotNull())
+    new = {"text": F.col("good.cleaned"), "n_chars": F.length("good.cleaned").cast("long")}
     return judged.select(*[(new[c] if c in new else F.col(row)[c]).alias(c) for c in docs.columns])
-
