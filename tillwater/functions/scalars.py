@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,3 +77,13 @@ def fixed2(c: Column) -> Column:
 
 def iso_day(c: Column) -> Column:
     return F.date_format(c, "yyyy-MM-dd")
+
+
+def order_key(items: DataFrame) -> list[str]:
+    """Columns that join lines to their order.
+
+    An order number is unique within a tenant only, so lines that carry their
+    tenant join on both. Lines without one come from sources whose order
+    numbers are unique over all tenants.
+    """
+    return ["user_id", "order_id"] if "user_id" in items.columns else ["order_id"]

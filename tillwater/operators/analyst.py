@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwater.functions.ranking import top_per_key
-from tillwater.functions.scalars import clamp, exact_sum, iso_day, money, ratio
+from tillwater.functions.scalars import clamp, exact_sum, iso_day, money, order_key, ratio
 from tillwater.operators.dashboard import completed
 
 
@@ -41,7 +41,7 @@ def order_drilldown(orders: DataFrame, items: DataFrame, customers: DataFrame, s
     ranged = orders.filter((F.col("order_date") >= F.lit(start).cast("timestamp"))
                            & (F.col("order_date") < F.lit(end).cast("timestamp")))
     return (
-        ranged.join(items, "order_id", "left")
+        ranged.join(items, order_key(items), "left")
         .join(customers.select("user_id", "customer_id", "name"), ["user_id", "customer_id"], "left")
         .select(
             "user_id", "order_id", iso_day(F.col("order_date")).alias("order_day"), "status", "customer_id",
@@ -74,17 +74,18 @@ def status_counts(orders: DataFrame) -> DataFrame:
 def nested_orders(orders: DataFrame, items: DataFrame, products: DataFrame, order_ids: list | None = None) -> DataFrame:
     """One row per order with its lines as an array of structs, ordered by product."""
     chosen = orders if order_ids is None else orders.filter(F.col("order_id").isin(order_ids))
+    key = order_key(items)
     lines = (
-        items.join(chosen.select("user_id", "order_id"), "order_id")
+        items.join(chosen.select("user_id", "order_id"), key)
         .join(products.select("user_id", "product_id", "name"), ["user_id", "product_id"], "left")
-        .groupBy("order_id")
+        .groupBy(*key)
         .agg(
             F.array_sort(
                 F.collect_list(F.struct("product_id", "name", "quantity", money(F.col("total_price")).alias("total")))
             ).alias("items")
         )
     )
-    return chosen.join(lines, "order_id", "left").select(
+    return chosen.join(lines, key, "left").select(
         "user_id", "order_id", iso_day(F.col("order_date")).alias("order_day"), "items"
     )
 

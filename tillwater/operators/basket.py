@@ -6,7 +6,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwater.functions.scalars import rounded
+from tillwater.functions.scalars import order_key, rounded
 from tillwater.session import stored
 
 MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.30
@@ -24,7 +24,7 @@ def transactions(items: DataFrame, orders: DataFrame) -> DataFrame:
     """
     product = F.nullif(F.trim(F.col("product_id").cast("string")), F.lit(""))
     lines = (
-        items.join(orders.filter("status = 'completed'").select("user_id", "order_id"), "order_id")
+        items.join(orders.filter("status = 'completed'").select("user_id", "order_id"), order_key(items))
         .select("user_id", "order_id", product.alias("product_id"))
         .filter("product_id is not null")
         .distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillwater.functions.quantiles import exact_median
 from tillwater.functions.ranking import latest_per_key, top_per_key
-from tillwater.functions.scalars import exact_sum, iso_day, money, ratio, rounded
+from tillwater.functions.scalars import exact_sum, iso_day, money, order_key, ratio, rounded
 from tillwater.session import stored
 
 COMPLETED = "completed"
@@ -132,7 +132,7 @@ def product_performance(items: DataFrame, orders: DataFrame, products: DataFrame
     line = F.greatest(F.lit(0.0), F.col("quantity") * F.col("unit_price") - F.col("discount"))
     # Sum per (product, order) first: the distinct order count then needs no second pass over lines.
     per_order = (
-        items.join(completed(orders).select("user_id", "order_id"), "order_id")
+        items.join(completed(orders).select("user_id", "order_id"), order_key(items))
         .groupBy("user_id", "product_id", "order_id")
         .agg(exact_sum(line).alias("_rev"), F.sum("quantity").alias("_qty"))
     )
@@ -204,13 +204,14 @@ def recent_orders(orders: DataFrame, items: DataFrame, customers: DataFrame, lim
     """Newest orders of each tenant, any status. The limit is taken before any join."""
     limit = max(1, min(100, limit))
     newest = top_per_key(orders, ["user_id"], [F.desc("order_date"), F.desc("order_id")], limit)
+    key = order_key(items)
     line_counts = (
-        items.join(newest.select("order_id"), "order_id", "left_semi")
-        .groupBy("order_id")
+        items.join(newest.select(*key), key, "left_semi")
+        .groupBy(*key)
         .agg(F.count(F.lit(1)).alias("item_count"))
     )
     return (
-        newest.join(line_counts, "order_id", "left")
+        newest.join(line_counts, key, "left")
         .join(customers.select("user_id", "customer_id", "name", "country"), ["user_id", "customer_id"], "left")
         .select(
             "user_id",

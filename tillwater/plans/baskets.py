@@ -9,7 +9,7 @@ from tillwater.functions.scalars import rounded
 from tillwater.operators import analyst, basket, dashboard, recommend
 from tillwater.plans.relational import register
 from tillwater.plans.sql import query, r
-from tillwater.sources.testdata import TENANTS, Tables
+from tillwater.sources.testdata import Tables
 
 
 def type_transactions(t: Tables) -> DataFrame:
@@ -33,7 +33,7 @@ def brand_products(t: Tables) -> DataFrame:
         F.max_by("category", F.struct("n", "category")).alias("category"), F.max("price").alias("price")
     )
     return best.select(
-        F.explode(F.array(*[F.lit(x) for x in TENANTS])).alias("user_id"),
+        F.explode(F.array(*[F.lit(x) for x in t.tenants])).alias("user_id"),
         F.col("brand").alias("product_id"),
         F.concat(F.lit("All of "), "brand").alias("name"),
         "category",

@@ -15,8 +15,6 @@ from tillwater.session import use_utc
 
 # Order status codes of the source tables.
 STATUS = {"F": "completed", "O": "processing", "P": "shipped"}
-# The market segments of the source tables.
-TENANTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 class Tables:
@@ -49,6 +47,12 @@ class Tables:
             F.col("c_mktsegment").alias("user_id"), F.col("c_custkey").alias("customer_id")
         )
 
+    @cached_property
+    def tenants(self) -> list[str]:
+        """Names of all tenants that have a customer."""
+        found = self.tenant_of.filter("user_id is not null").select("user_id").distinct().collect()
+        return sorted(r["user_id"] for r in found)
+
     @cached_property
     def orders(self) -> DataFrame:
         status = F.coalesce(
@@ -100,5 +104,5 @@ class Tables:
 
     @cached_property
     def products(self) -> DataFrame:
-        tenants = F.array(*[F.lit(t) for t in TENANTS])
+        tenants = F.array(*[F.lit(t) for t in self.tenants])
         return self.catalogue.withColumn("user_id", F.explode(tenants))
