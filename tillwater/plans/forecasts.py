@@ -355,13 +355,22 @@ def forecast_trends(t):
     return insights.trends(points(t), history(t))
 
 
-@register("peak_days", point_rows(f"""SELECT user_id, {ymd('forecast_date')}, predicted_revenue, {r('(predicted_revenue - m) / m * 100')} AS deviation_percent,
+def _peaks_sql(last: str = "") -> str:
+    return point_rows(f"""SELECT user_id, {ymd('forecast_date')}, predicted_revenue, {r('(predicted_revenue - m) / m * 100')} AS deviation_percent,
     row_number() OVER (PARTITION BY user_id ORDER BY predicted_revenue DESC, p.forecast_date) AS rank
     FROM (SELECT *, AVG(predicted_revenue) OVER (PARTITION BY user_id) AS m FROM points) p
-    WHERE m > 0 AND predicted_revenue >= m * 1.25
-    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY predicted_revenue DESC, p.forecast_date) <= 3"""))
+    WHERE m > 0 AND predicted_revenue >= m * 1.25 {last}""")
+
+
+@register("peak_days", _peaks_sql())
 def peak_days(t):
-    return day_text(insights.peak_days(points(t)).filter("rank <= 3"), "forecast_date").withColumn("rank", F.col("rank").cast("long"))
+    return day_text(insights.peak_days(points(t)), "forecast_date").withColumn("rank", F.col("rank").cast("long"))
+
+
+@register("top_peak_days", _peaks_sql(
+    "QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY predicted_revenue DESC, p.forecast_date) <= 3"))
+def top_peak_days(t):
+    return peak_days(t).filter("rank <= 3")
 
 
 @register("lowest_days", point_rows(f"""SELECT user_id, {ymd('forecast_date')}, predicted_revenue, rank FROM (
