@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwater.functions import arrays
@@ -420,6 +420,14 @@ def notification_run(t: Tables) -> tuple[DataFrame, DataFrame]:
 @register("notifications_created", point_rows(f"""SELECT *, '{END}' AS created_at, row_number() OVER (PARTITION BY user_id
     ORDER BY type, title, related_date NULLS FIRST, related_metric) AS rank FROM fresh""", **ALL_NOTES))
 def notifications_created(t):
+    order = Window.partitionBy("user_id").orderBy("type", "title", F.asc_nulls_first("related_date"), "related_metric")
+    ranked = notification_run(t)[0].withColumn("rank", F.row_number().over(order).cast("long"))
+    return day_text(ranked, "related_date", "created_at")
+
+
+@register("notification_list", point_rows(f"""SELECT *, '{END}' AS created_at, row_number() OVER (PARTITION BY user_id
+    ORDER BY type, title, related_date NULLS FIRST, related_metric) AS rank FROM fresh QUALIFY rank <= 100""", **ALL_NOTES))
+def notification_list(t):
     listed = day_text(notify.listing(notification_run(t)[0], 100), "related_date", "created_at")
     return listed.withColumn("rank", F.col("rank").cast("long"))
 
