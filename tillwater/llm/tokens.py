@@ -1,7 +1,7 @@
 """Ids of whole texts from a tokenizer file, word by word with a bounded memory of words.
 
-The library encodes every distinct word once per worker and memory; a text's
-ids are its words' ids in a row. That is exact where words can't influence
+The library encodes every distinct word once per worker and memory, the unknown
+words of a text in few calls; a text's ids are its words' ids in a row. That is exact where words can't influence
 each other, which holds for both kinds of file:
 
 - ``attached``: byte-level BPE whose pre-tokens carry a leading space. A
@@ -19,12 +19,16 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from itertools import filterfalse, pairwise
 
 import numpy as np
 
 #: Words that a worker learns before it lets go of those it hasn't met since it learnt as many before.
 REMEMBERED = 700_000
 
+#: Unknown words that go to the library in one call.
+TOGETHER = 256
+
 _CHUNKS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+")
 #: White space of either library, or of Python, less the plain kinds above.
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -38,16 +42,36 @@ class _Words(dict):
         super().__init__()
         self.encode, self.prefix, self.older = encode, prefix, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def _make_room(self) -> None:
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
+
+    def __missing__(self, word: str) -> bytes:
+        self._make_room()
         out = self.older.get(word)
         if out is None:
             out = self.encode(self.prefix + word if word[:1] != "\n" else word)
         self[word] = out
         return out
 
+    def learn(self, words: list[str], together) -> None:
+        """Take up what is unknown of ``words``; ``together`` gives the packed ids of several words at once."""
+        unknown = set(filterfalse(self.__contains__, words))
+        if len(unknown) < 2:
+            return
+        self._make_room()
+        new = []
+        for word in unknown:
+            out = self.older.get(word)
+            if out is not None:
+                self[word] = out
+            elif word and word[0] != "\n":
+                new.append(word)
+        for low in range(0, len(new), TOGETHER):
+            some = new[low : low + TOGETHER]
+            self.update(zip(some, together(some), strict=True))
+
 
 class TextIds:
     """Packed ids of texts; ``width`` is the bytes of an id, 2 where the vocabulary allows it."""
@@ -62,6 +86,10 @@ class TextIds:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.kind = kind
+        #: Whether a token begins with a space, as byte-level files write it.
+        vocabulary = self.tokenizer.get_vocab()
+        self.spacing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spacing[[n for token, n in vocabulary.items() if token.startswith("\u0120")]] = True
         self.spaced, self.plain = _Words(self.whole, " "), _Words(self.whole, "")
         if self.packed(_PROBE) != self.whole(_PROBE):
             raise ValueError(f"{path} isn't a tokenizer of kind {kind}")
@@ -69,9 +97,22 @@ class TextIds:
     def whole(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def together(self, words: list[str]) -> list[bytes]:
+        """Packed ids of each word after a space, from one call; a token belongs to the word in which it starts."""
+        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, f"<u{self.width}")
+        cuts = np.flatnonzero(self.spacing[ids]) if self.kind == "attached" else ()
+        if len(cuts) != len(words):
+            starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+            cuts = np.searchsorted(np.fromiter((start for start, _ in found.offsets), np.int64, len(ids)), starts)
+        bounds = (np.append(cuts, len(ids)) * self.width).tolist()
+        packed = ids.tobytes()
+        return [packed[low:high] for low, high in pairwise(bounds)]
+
     def packed(self, text: str) -> bytes:
         if self.kind == "dropped":
             words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+            self.plain.learn(words, self.together)
             return b"".join(map(self.plain.__getitem__, words))
         if _ODD_SPACE.search(text):
             return self.whole(text)
@@ -79,6 +120,7 @@ class TextIds:
         if "  " in lines or "\n " in lines or "\t" in text or "\r" in text or text[-1:] in (" ", "\n"):
             return b"".join(map(self.plain.__getitem__, _CHUNKS.findall(text)))
         words = lines.split(" ")
+        self.spaced.learn(words[1:], self.together)
         return self.plain[words[0]] + b"".join(map(self.spaced.__getitem__, words[1:]))
 
     def unsigned32(self, packed: bytes) -> bytes:
