@@ -3,7 +3,6 @@
 import collections
 import hashlib
 import math
-import random
 import re
 import zlib
 
@@ -339,16 +338,3 @@ def test_registered():
 
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
-
-
-@pytest.mark.parametrize("file, kind", [("byte_bpe_50k.json", "attached"), ("word_bpe_49k.json", "dropped")])
-def test_unknown_words_go_to_the_library_together(file, kind, monkeypatch):
-    """Ids are the library's for any mix of signs, also where the memory of words is renewed in the middle."""
-    monkeypatch.setattr(tokens, "REMEMBERED", 40)
-    monkeypatch.setattr(tokens, "TOGETHER", 7)
-    rng, signs = random.Random(4), "aZ's.\n \t\r0é中e\u0301\u0120\u0130\ufb01²\U0001f600\x00\x0b\u00a0<|>_-"
-    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(500)]
-    words = ["".join(rng.choices(signs.translate(dict.fromkeys(map(ord, " \t\r\n\x0b\u00a0"))), k=rng.randint(1, 6))) for _ in range(300)]
-    texts += [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(500)] + ["", " ", "<|endoftext|> a\nb <|endoftext|>"]
-    encoder = tokens.TextIds(public.path(file), kind)
-    assert [t for t in texts if encoder.packed(t) != encoder.whole(t)] == []
