@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as public
 import pytest
 from pyspark.sql import functions as F
@@ -272,6 +273,61 @@ def test_near_duplicates(spark):
     assert minhash.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_far_from_the_centre(spark, monkeypatch):
+    """Two near copies that share only bands of large groups, and are far from all the central members there, are found."""
+    monkeypatch.setattr(minhash, "BLOCK", 7, raising=False)
+    rng = np.random.default_rng(11)
+    core, tail = ([f"{name}{x}" for x in range(n)] for name, n in (("core", 100), ("tail", 15)))
+    central = [" ".join([*core, *tail, f"end{i}"]) for i in range(30)]
+    far = [" ".join([*core, *(f"own{i}x{x}" for x in range(10))]) for i in range(60)]
+    owner, ids, counts = minhash.shingle_sets(pa.array([*central, *far]))
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    keys = minhash.band_keys(minhash.samples(ids, counts * (1 + math.log(5)), starts))
+    large = [{k for k, n in collections.Counter(keys[:30, band].tolist()).items() if n > 15} for band in range(minhash.BANDS)]
+
+    def only_in_large_groups(i, j):
+        shared = [k in large[band] for band, (k, other) in enumerate(zip(keys[30 + i].tolist(), keys[30 + j].tolist())) if k == other]
+        return shared and all(shared)
+
+    i, j = next((i, j) for i in range(60) for j in range(i) if only_in_large_groups(i, j))
+    rows = list(enumerate([*central, far[j], far[i]]))
+    rows += [(100 + n, " ".join(f"w{x}" for x in rng.integers(0, 5000, 60))) for n in range(200)]
+    want = near_classes(rows)
+    assert want[29] == 0 and want[31] == want[30] == 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()} == want
+
+
+def test_blocks_against_pairs():
+    """The products over two blocks join what the pairwise similarities join, also with repeated words and at the threshold."""
+    rng = np.random.default_rng(2)
+    base = [f"w{x}" for x in rng.integers(0, 40, 60)] + ["spam"] * 30
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.integers(0, len(words), i % 6):
+            words[at] = f"e{i}"
+        texts.append(" ".join(words) if i % 9 else "" if i % 2 else "few words")
+    blocks = [pa.StructArray.from_arrays([pa.array([str(i).encode() for i in at]), pa.array([str(i).encode() for i in at]), pa.array([texts[i] for i in at])],
+                                         ["node", "label", "text"]) for at in (range(25), range(25, 60))]
+    ids, counts = np.unique(minhash.shingle_sets(pa.array(texts))[1], return_counts=True)
+    weights = minhash.Weights(ids[counts >= 12], counts[counts >= 12], 60)
+    a, b = np.divmod(np.arange(25 * 35), 35)
+    alike = minhash.similarities(pa.array([texts[i] for i in a]), pa.array([texts[25 + j] for j in b]), weights)
+    for least in (0.8, float(np.sort(alike[alike > 0.5])[7])):
+        above = list(range(60))
+        for i, j in zip(a[alike >= least], b[alike >= least]):
+            old, new = above[25 + j], above[i]
+            above = [new if x == old else x for x in above]
+        got = list(range(60))
+        for i, j in zip(*minhash.joins(*blocks, weights, least)):
+            assert alike[i * 35 + j] >= least
+            old, new = got[25 + j], got[i]
+            got = [new if x == old else x for x in got]
+        filled = [i for i in range(60) if texts[i]]
+        assert all((above[i] == above[j]) == (got[i] == got[j]) for i in filled for j in filled)
+
+
 def test_near_duplicates_of_odd_rows(odd):
     kept = minhash.keep_one(odd)
     assert kept.columns == odd.columns
