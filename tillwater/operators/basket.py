@@ -48,8 +48,8 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double"))).cast("int")
 
 
-def frequent_itemsets(tx: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
-    """Itemsets of any length with support >= ``min_support`` within their tenant.
+def frequent_itemsets(tx: DataFrame, min_support: float = MIN_SUPPORT, min_count: int = 1) -> DataFrame:
+    """Itemsets of any length with support >= ``min_support`` within their tenant, in at least ``min_count`` baskets.
 
     All tenants of similar basket count (same power of two) are mined in one
     FP-growth run on tenant-tagged items: an itemset never mixes tenants, so a
@@ -69,7 +69,7 @@ def frequent_itemsets(tx: DataFrame, min_support: float = MIN_SUPPORT) -> DataFr
         baskets = tagged.filter(F.col("_class") == c).select("items")
         total = baskets.count()
         # FP-growth keeps sets with at least ceil(support * total) baskets: stay a little below.
-        floor_count = max(1.0, min_support * 2**c)
+        floor_count = max(1.0, min_count, min_support * 2**c)
         sets = FPGrowth(minSupport=min(1.0, max(0.0, (floor_count - 0.5) / total)), minConfidence=1.0).fit(baskets)
         part = sets.freqItemsets
         found = part if found is None else found.unionByName(part)
@@ -85,7 +85,7 @@ def frequent_itemsets(tx: DataFrame, min_support: float = MIN_SUPPORT) -> DataFr
     return (
         found.select(tenant.alias("user_id"), plain.alias("items"), F.col("freq").alias("item_count"))
         .join(counts, "user_id")
-        .filter(share >= min_support)
+        .filter((share >= min_support) & (F.col("item_count") >= min_count))
         .select("user_id", "items", F.size("items").alias("size"), "item_count", "transactions", share.alias("support"))
     )
 

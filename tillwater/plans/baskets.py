@@ -46,6 +46,12 @@ def brand_rules(t: Tables) -> DataFrame:
     return basket.association_rules(basket.frequent_itemsets(tx, 0.01), 0.15)
 
 
+def product_rules(t: Tables) -> DataFrame:
+    """Rules between actual products. Their pairs are rare, whatever the table's size: two baskets make a set frequent."""
+    tx = basket.transactions(t.order_items, t.completed)
+    return basket.association_rules(basket.frequent_itemsets(tx, 0.0, min_count=2))
+
+
 # ---- itemsets and rules of up to six items as bit masks ----
 TX = """SELECT DISTINCT d.user_id, d.order_id, trim({item}) AS p FROM lineitem JOIN part ON l_partkey = p_partkey
     JOIN done d ON d.order_id = l_orderkey"""
@@ -265,6 +271,24 @@ def recommendations_parts(t):
     return recommend.recommend(t.tenant_of, t.products, recommend.purchases(t.completed, t.order_items), no_rules)
 
 
+# Sets of any of thousands of products can't be listed in SQL: tests/test_product_rules.py compares with plain counting.
+@register("product_transactions", query("done", "SELECT user_id, order_id, string_agg(p, '|' ORDER BY p) AS items FROM tx GROUP BY ALL",
+                                        tx=TX.format(item="CAST(p_partkey AS VARCHAR)")))
+def product_transactions(t):
+    return basket.transactions(t.order_items, t.completed).select("user_id", "order_id", joined("items"))
+
+
+@register("product_association_rules")
+def product_association_rules(t):
+    rules = basket.ordered_rules(product_rules(t))
+    return rules.withColumn("antecedent", joined("antecedent")).withColumn("consequent", joined("consequent"))
+
+
+@register("recommendations_products")
+def recommendations_products(t):
+    return recommend.recommend(t.tenant_of, t.products, recommend.purchases(t.completed, t.order_items), product_rules(t))
+
+
 @register("purchase_history", query("done item", PARTS["history"]))
 def purchase_history(t):
     return recommend.purchases(t.completed, t.order_items)
