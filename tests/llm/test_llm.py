@@ -298,6 +298,21 @@ def test_near_duplicates_far_from_the_centre(spark, monkeypatch):
     assert {r["doc_id"]: r["class_id"] for r in minhash.classes(df).collect()} == want
 
 
+def test_common_shingles_are_not_lost(spark, monkeypatch):
+    """A shingle that grows in a partition, and is let go at several merges, is counted all the same."""
+    monkeypatch.setattr(minhash, "HELD", 50, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        rows = []
+        for batch in range(1, 5):
+            rows += [("one two three four five" if i < batch else " ".join(f"r{batch}x{i}y{n}" for n in range(30)),) for i in range(10)]
+        ids, counts, total = minhash.common_shingles(spark.createDataFrame(rows, "text string").coalesce(1))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert ids.tolist() == minhash.shingle_sets(pa.array(["one two three four five"]))[1].tolist()
+    assert (counts.tolist(), total) == ([10], 40)
+
+
 def test_blocks_against_pairs():
     """The products over two blocks join what the pairwise similarities join, also with repeated words and at the threshold."""
     rng = np.random.default_rng(2)
