@@ -404,6 +404,35 @@ def test_pipeline(spark):
     assert docs.count() > sizes[0] >= sizes[1] > sizes[2] == sizes[3] > 0 and sizes[4] > 0
 
 
+def test_dedup_and_packing_stages_against_brute_force(spark):
+    """What near dedup keeps, what passage dedup leaves of it, and how many ids are packed."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").filter("doc_id is not null and text is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(150)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    texts = dict(texts_of(docs))
+    kept = stages["near dedup"](spark, docs, SMALL)
+    kept = spark.createDataFrame(kept.collect(), docs.schema)
+    want = {d: texts[d] for d in set(near_classes(sorted(texts.items())).values())}
+    assert dict(texts_of(kept)) == want and kept.count() == len(want) < len(texts)
+    first = {}
+    for d in sorted(want):
+        w = WORD.findall(want[d])
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    for d in want:
+        w = WORD.findall(want[d])
+        gone = {j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(i, i + 13)}
+        want[d] = [x for i, x in enumerate(w) if i not in gone]
+    cut = stages["substring dedup"](spark, kept, SMALL)
+    cut = spark.createDataFrame(cut.collect(), docs.schema)
+    assert cut.count() == len(want) and {d: WORD.findall(t) for d, t in texts_of(cut)} == want
+    encoder = tokens.TextIds(public.path("word_bpe_49k.json"), "dropped")
+    rows = stages["packing"](spark, cut, SMALL).select("length").collect()
+    assert sum(r["length"] for r in rows) == sum(len(encoder.packed(t)) // 2 + 1 for _, t in texts_of(cut))
+
+
 def test_registered():
     import __spark_entry__ as entry
 
