@@ -5,7 +5,9 @@ OVERLAP characters. Chunks are pre-tokenised independently, in parallel. A
 chunk that starts inside a pre-token may begin with wrong boundaries, but from
 the first boundary that both neighbours have in their overlap they agree for
 good, since a pre-token depends only on what follows its start. The text is
-stitched there, and the pieces between stitches are encoded, in parallel.
+stitched at the first such boundary that isn't behind white space (a pre-token
+of white space looks at the character after it, which a piece that ends there
+would lack), and the pieces between stitches are encoded, in parallel.
 Where an overlap has no common boundary (an unbroken run longer than the
 overlap), the text is encoded as one piece. Ids are those of the rank file's
 library on the whole text. Shorter texts are one piece and need no shuffle.
@@ -111,7 +113,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, o
             for k, last, body in zip(batch["k"], batch["last"], batch["body"], strict=True):
                 start = k * chunk
                 found = boundaries(body, start, last, start, start + len(body), pattern)
-                head.append([x for x in found if start < x < start + overlap])
+                # What comes before a stitch is encoded alone. A pre-token may look ahead over white space
+                # behind it, never over anything else, so a text is only stitched behind other characters.
+                found = [x for x in found if x > start and not body[x - start - 1].isspace()]
+                head.append([x for x in found if x < start + overlap])
                 tail.append([x for x in found if x > start + chunk] if not last else [])
             yield batch.assign(head=head, tail=tail)
 
