@@ -313,6 +313,43 @@ def test_common_shingles_are_not_lost(spark, monkeypatch):
     assert (counts.tolist(), total) == ([10], 40)
 
 
+@pytest.mark.parametrize("spread", [1, 7, 40])
+def test_common_shingles_over_small_partitions(spark, spread):
+    common = [("a b c d e", 3), ("f g h i j", 5), ("k l m n o", 1)]
+    rows = [(" ".join([s for s, n in common if i % 10 < n] + [f"r{i}w{n}" for n in range(12)]),) for i in range(40)]
+    ids, counts, total = minhash.common_shingles(spark.createDataFrame(rows, "text string").repartition(spread))
+    found = dict(zip(ids.tolist(), counts.tolist()))
+    want = {minhash.shingle_sets(pa.array([s]))[1].tolist()[0]: 4 * n for s, n in common if n > 1}
+    assert {k: v for k, v in found.items() if k in want} == want and all(v >= 8 for v in found.values()) and total == 40
+
+
+def test_stitches_behind_white_space(spark):
+    """Chunk borders, and so stitches, fall on every place of texts full of white space."""
+    rng = np.random.default_rng(3)
+    bits = ["a", "word", " ", "  ", "\n", "\n\n", "\t", "\r\n", "don't", "'", "'ll", "12", "345", "\u00a0", "\u3000", "é中", "...", "!?", "   \n "]
+    rows = [(i, "".join(rng.choice(bits, int(rng.integers(1, 120))))) for i in range(1500)]
+    rows += [(2000 + i, "p" * i + "\n\nq" * 60 + " " * i + "r s" * 40) for i in range(40)]
+    ranks = public.path("byte_bpe_50k.tiktoken")
+    enc = bpe.encoding(ranks, public.PATTERN)
+    for chunk, overlap in ((24, 8), (40, 20)):
+        got = bpe.encode(spark.createDataFrame(rows, "doc_id long, text string"), ranks, public.PATTERN, chunk, overlap).collect()
+        assert {r["doc_id"]: bytes(r["ids"]) for r in got} == {d: bpe.packed_ids(enc.encode_ordinary(t)) for d, t in rows}
+
+
+def test_keep_one_of_rows_alike(spark):
+    rows = [(1, "same text here", "a"), (1, "same text here", "a"), (1, "same text here", "b"), (None, "same text here", "a"), (2, None, "x"), (2, None, "x"), (3, "other words in this", "c")]
+    kept = minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)).collect()
+    assert len(kept) == 4 and sorted(r["doc_id"] for r in kept) == [1, 2, 2, 3]
+
+
+def test_queries_of_other_lengths(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8 if i % 10 else 5).tolist()) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    graph = neighbours.build(table)
+    assert neighbours.search(graph, table.filter("vec_id % 10 = 0 or vec_id = 7")).select("query_id").distinct().collect() == [(7,)]
+
+
 def test_blocks_against_pairs():
     """The products over two blocks join what the pairwise similarities join, also with repeated words and at the threshold."""
     rng = np.random.default_rng(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,6 +57,27 @@ def running_base(totals: DataFrame, part: str, total: str, base: str) -> DataFra
     return totals.select(part, F.coalesce(F.sum(total).over(earlier), F.lit(0)).cast("long").alias(base))
 
 
+#: What operators keep in this Python worker between tasks, and how to let go of it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, let_go: Callable[[], None]) -> None:
+    """Called in a worker by an operator that keeps much memory from one task to the next."""
+    _kept[owner] = let_go
+
+
+def make_room(owner: str) -> None:
+    """Called in a worker by an operator that needs memory: what other operators keep there goes."""
+    for name in [n for n in _kept if n != owner]:
+        _kept.pop(name)()
+
+
+#: Bytes of an Arrow batch between Spark and a Python worker; either side holds some of them at once.
+BATCH_BYTES = 8 << 20
+
+
 def tidy(spark) -> None:
-    """Let Spark remove a finished job's shuffle files at once; these operators write down what they use again."""
+    """Let Spark remove a finished job's shuffle files at once (these operators write down what they use again), and
+    bound batches of long texts by their bytes."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -22,6 +22,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from tillwater.llm.common import keeps
+
 #: Words that a worker learns before it lets go of those it hasn't met since it learnt as many before.
 REMEMBERED = 700_000
 
@@ -88,5 +90,6 @@ class TextIds:
 
 @lru_cache(maxsize=2)
 def text_ids(path: str, kind: str) -> TextIds:
-    """One per worker process."""
+    """One per worker process, until another operator needs the room."""
+    keeps("tokens", text_ids.cache_clear)
     return TextIds(path, kind)
