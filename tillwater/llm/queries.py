@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwater.llm import (
-    bpe, idstore, minhash, neighbours, packing, quality_model, quality_rules, sharding, substring, urls,
+    bpe, idstore, minhash, neighbours, packing, pii, quality_model, quality_rules, sharding, substring, urls,
 )
 from tillwater.llm.common import tidy
 
@@ -99,6 +99,17 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(docs, digests=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tidy(spark)
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(pii.merged(F.col("base"), F.col("added"))).alias("spans"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -109,7 +120,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_url_filter, op3_packing, op4_sharding, op5_quality_model, op6_neighbours, op7_quality_rules,
-        op8_id_store, op9_near_duplicates, op10_repeats, pipeline,
+        op8_id_store, op9_near_duplicates, op10_repeats, op11_personal_data, pipeline,
     )
 }
 
