@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillwater.llm import (
-    bpe, idstore, minhash, neighbours, packing, pii, quality_model, quality_rules, sharding, substring, urls,
+    bpe, idstore, manifest_sql, merkle, minhash, neighbours, packing, pii, quality_model, quality_rules, sharding, substring,
+    tries, urls,
 )
 from tillwater.llm.common import tidy
+from tillwater.session import stored
 
 SHARDS = 40
 RULES = [
@@ -110,6 +112,23 @@ def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows, by a checksum of their id, have lost their line breaks since."""
+    tidy(spark)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.manifest(_table(spark, sf_dir, "documents"), without)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation begins with up to 8 turns of the one whose id is the next multiple of 5 below."""
+    tidy(spark)
+    conv_id = F.col("conv_id")
+    head = F.crc32(conv_id.cast("string").cast("binary")) % 9
+    turns = tries.turns(_table(spark, sf_dir, "conversations"))
+    return tries.prefixes(tries.rebuilt(stored(turns), conv_id - conv_id % 5, head, 8))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,7 +139,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_url_filter, op3_packing, op4_sharding, op5_quality_model, op6_neighbours, op7_quality_rules,
-        op8_id_store, op9_near_duplicates, op10_repeats, op11_personal_data, pipeline,
+        op8_id_store, op9_near_duplicates, op10_repeats, op11_personal_data,
+        op12_manifest, op13_prefix_trie, pipeline,
     )
 }
 
@@ -148,4 +168,4 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS
 FROM d LEFT JOIN lists USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op10_repeats": OP10_SQL}
+ORACLES = {"op10_repeats": OP10_SQL, "op12_manifest": manifest_sql.MANIFEST, "op13_prefix_trie": manifest_sql.PREFIXES}
