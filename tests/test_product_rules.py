@@ -6,8 +6,10 @@ import pytest
 
 import __spark_entry__ as entry
 from test_basket import plain_rules, plain_sets
+from test_closed import basis, implied
 from test_recommend import brute
 from tillwater.operators import basket, recommend
+from tillwater.plans.baskets import PRODUCT_SUPPORT
 from tillwater.sources.testdata import Tables
 
 SMALL = "/root/testdata/sf0.001"
@@ -32,8 +34,11 @@ def test_product_rules(spark, rules):
             lines[done[r["order_id"]]][r["order_id"]].add(str(r["product_id"]))
     assert sum(len(x) for x in rules.values()) > 0
     for u, baskets in lines.items():
-        want = plain_rules(plain_sets(list(baskets.values()), 2 / len(baskets)), len(baskets), basket.MIN_CONFIDENCE)
+        sets = plain_sets(list(baskets.values()), max(2 / len(baskets), PRODUCT_SUPPORT))
+        want = basis(sets, len(baskets), basket.MIN_CONFIDENCE)
         assert set(rules[u]) == set(want)
+        # All rules between products follow from these.
+        assert all(implied(k, v, want) for k, v in plain_rules(sets, len(baskets), basket.MIN_CONFIDENCE).items())
         assert all(abs(x - y) <= 5.1e-5 for k in want for x, y in zip(rules[u][k], want[k]))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwater.functions.scalars import rounded
-from tillwater.operators import analyst, basket, dashboard, recommend
+from tillwater.operators import analyst, basket, closed, dashboard, recommend
 from tillwater.plans.relational import register
 from tillwater.plans.sql import query, r
 from tillwater.sources.testdata import Tables
@@ -46,10 +46,14 @@ def brand_rules(t: Tables) -> DataFrame:
     return basket.association_rules(basket.frequent_itemsets(tx, 0.01), 0.15)
 
 
+#: A set of products counts from this share of a tenant's baskets on, and from two baskets on.
+PRODUCT_SUPPORT, PRODUCT_BASKETS = 0.0002, 2
+
+
 def product_rules(t: Tables) -> DataFrame:
-    """Rules between actual products. Their pairs are rare, whatever the table's size: two baskets make a set frequent."""
+    """Rules between actual products that imply all others (generator to closed set)."""
     tx = basket.transactions(t.order_items, t.completed)
-    return basket.association_rules(basket.frequent_itemsets(tx, 0.0, min_count=2))
+    return closed.rules(closed.generators(tx, PRODUCT_SUPPORT, PRODUCT_BASKETS))
 
 
 # ---- itemsets and rules of up to six items as bit masks ----
