@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillwater.functions.scalars import rounded
+from tillwater.functions.scalars import exact_sum, rounded
 from tillwater.session import stored
 
 AXES = ["recency", "frequency", "monetary", "average_order_value"]
-MAX_CLUSTERS, SEED, RESTARTS = 3, 42, 10
+POINT = [f"x{i}" for i in range(len(AXES))]
+# Clusters, restarts, rounds and the squared shift (in standard deviations) that ends them.
+MAX_CLUSTERS, RESTARTS, MAX_ROUNDS, TOLERANCE = 3, 10, 300, 1e-4
+UNIT = 1_000_000
 # Names by rank.
 NAMES = ["High Value", "Regular", "At Risk"]
 DEFAULT_NAME = "Regular"
@@ -34,34 +33,95 @@ def usable(features: DataFrame) -> DataFrame:
     return features
 
 
-def cluster(features: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
-    """Cluster the customers of one tenant; the best of several seeds is kept.
+def scaled(features: DataFrame) -> DataFrame:
+    """Features in millionths of their tenant's standard deviation from its mean, as whole numbers; a constant axis is 0.
 
-    Scaling divides by the sample standard deviation: against the population
-    one all axes change by the same factor, which leaves the clusters alone.
+    Sums of whole numbers are exact, so clusters don't depend on the order of rows.
     """
-    # Read by every restart: stored once. Each fit keeps its own scaled input in memory and releases it.
-    features = stored(features)
-    n = usable(features).limit(max(k, 2)).count()
-    if n < 2:
-        raise BadFeatures("at least two customers are needed")
-    # A constant axis has deviation 0 and scales to 0.
-    prepare = Pipeline(stages=[
-        VectorAssembler(inputCols=AXES, outputCol="_raw"),
-        StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
+    stats = features.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"), *[
+        f(c).alias(f"_{name}_{c}") for c in AXES for name, f in (("mean", F.avg), ("std", F.stddev_pop), ("low", F.min), ("high", F.max))
     ])
-    scaled = prepare.fit(features).transform(features)
-    models = [
-        KMeans(k=min(k, n), seed=seed + i, initMode="k-means||", maxIter=300, tol=1e-4).fit(scaled) for i in range(restarts)
-    ]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(scaled).drop("_raw", "features").withColumnRenamed("prediction", "cluster")
-    return out
+    place = lambda c: F.when(
+        F.col(f"_high_{c}") > F.col(f"_low_{c}"),
+        F.floor((F.col(c) - F.col(f"_mean_{c}")) / F.col(f"_std_{c}") * UNIT + 0.5).cast("long"),
+    ).otherwise(F.lit(0).cast("long"))
+    return features.join(stats.filter("_n >= 2"), "user_id").select(
+        "user_id", "customer_id", *AXES, *[place(c).alias(f"x{i}") for i, c in enumerate(AXES)]
+    )
+
+
+def first_centres(points: DataFrame, k: int, restarts: int) -> DataFrame:
+    """``centres`` of each tenant and restart, ``k`` customers at most.
+
+    Even restarts draw those whose ids have the smallest hashes with the restart's number. Odd ones draw one so, and go on
+    with the customer farthest from all centres so far.
+    """
+    key = F.md5(F.concat(F.col("restart").cast("string"), F.lit(":"), F.col("customer_id").cast("string")))
+    drawn = points.withColumn("restart", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
+    order = W.partitionBy("user_id", "restart").orderBy(key, "customer_id")
+    drawn = drawn.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= k)
+    drawn = drawn.filter((F.col("restart") % 2 == 0) | (F.col("_nth") == 1))
+    centre = F.struct((F.col("_nth") - 1).alias("i"), *POINT)
+    state = stored(drawn.groupBy("user_id", "restart").agg(F.array_sort(F.collect_list(centre)).alias("centres")))
+    for i in range(1, k):
+        far = points.join(state.filter("restart % 2 = 1"), "user_id").withColumn("_d", nearest([F.col(c) for c in POINT], F.col("centres"))["d"])
+        far = far.groupBy("user_id", "restart").agg(F.max_by(F.struct(F.lit(i).alias("i"), *POINT), F.struct("_d", key)).alias("_more"))
+        more = F.when(F.col("_more").isNull(), F.col("centres")).otherwise(F.concat("centres", F.array("_more")))
+        state = stored(state.join(far, ["user_id", "restart"], "left").select("user_id", "restart", more.alias("centres")))
+    return state
+
+
+def nearest(point: list[Column], centres: Column) -> Column:
+    """(squared distance, number) of the nearest centre; the first one where several are as near."""
+
+    def away(centre: Column) -> Column:
+        parts = [(x - centre[f"x{i}"]).cast("double") for i, x in enumerate(point)]
+        return F.struct(sum((d * d for d in parts[1:]), parts[0] * parts[0]).alias("d"), centre["i"].alias("i"))
+
+    return F.array_min(F.transform(centres, away))
+
+
+def cluster(features: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> DataFrame:
+    """K-means of each tenant's customers; the best of several restarts is kept.
+
+    All tenants and restarts go through Lloyd's iteration together: a round assigns every customer for every restart
+    that still moves, and one grouped sum, combined before the shuffle, gives the next centres. Tenants with one
+    customer are left out; without any other tenant that is an error.
+    """
+    points = stored(scaled(usable(stored(features))))
+    if not points.limit(1).count():
+        raise BadFeatures("at least two customers are needed")
+    state = stored(first_centres(points, k, restarts))
+    settled = None
+    for turn in range(MAX_ROUNDS + 1):
+        if settled is not None and not state.limit(1).count():
+            break
+        found = points.join(state, "user_id").select("user_id", "restart", *POINT, nearest([F.col(c) for c in POINT], F.col("centres"))["i"].alias("i"))
+        sums = found.groupBy("user_id", "restart", "i").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in POINT])
+        means = F.struct("i", *[F.floor(F.col(c) / F.col("n") + 0.5).cast("long").alias(c) for c in POINT])
+        new = sums.groupBy("user_id", "restart").agg(F.collect_list(means).alias("_new"))
+        # A centre that nobody is nearest to stays where it is.
+        moved = F.transform("centres", lambda c: F.coalesce(F.get(F.filter("_new", lambda m: m["i"] == c["i"]), F.lit(0)), c))
+        step = state.join(new, ["user_id", "restart"]).select("user_id", "restart", "centres", moved.alias("next"))
+        gone = lambda a, b: sum((a[c] - b[c]).cast("double") * (a[c] - b[c]).cast("double") for c in POINT)
+        shift = F.aggregate(F.zip_with("centres", "next", gone), F.lit(0.0), lambda t, x: t + x)
+        step = stored(step.select("user_id", "restart", F.col("next").alias("centres"), (shift > TOLERANCE * UNIT * UNIT).alias("going")))
+        last = F.lit(True) if turn == MAX_ROUNDS - 1 else ~F.col("going")
+        done = step.filter(last).drop("going")
+        settled = done if settled is None else settled.unionByName(done)
+        state = step.filter(~last).drop("going")
+    assigned = points.join(settled, "user_id").withColumn("_near", nearest([F.col(c) for c in POINT], F.col("centres")))
+    cost = assigned.groupBy("user_id", "restart").agg(F.sum(F.col("_near.d").cast("decimal(38,0)")).alias("_cost"))
+    best = cost.groupBy("user_id").agg(F.min_by("restart", F.struct("_cost", "restart")).alias("restart"))
+    chosen = settled.join(best, ["user_id", "restart"]).select("user_id", "centres")
+    out = points.join(chosen, "user_id")
+    return out.select("user_id", "customer_id", *AXES, nearest([F.col(c) for c in POINT], F.col("centres"))["i"].alias("cluster"))
 
 
 def name_clusters(clustered: DataFrame) -> DataFrame:
     """Names by mean(monetary) + 100 mean(frequency) - 10 mean(recency), best first, per tenant."""
-    score = F.avg("monetary") + 100 * F.avg("frequency") - 10 * F.avg("recency")
+    mean = lambda c: exact_sum(F.col(c)).cast("double") / F.count(F.lit(1))
+    score = mean("monetary") + 100 * mean("frequency") - 10 * mean("recency")
     profile = clustered.groupBy("user_id", "cluster").agg(score.alias("score"))
     # At most three rows per tenant.
     ranked = profile.groupBy("user_id").agg(
@@ -77,8 +137,8 @@ def name_clusters(clustered: DataFrame) -> DataFrame:
 
 
 def segment(features: DataFrame, created_at: str, **options) -> DataFrame:
-    """Segments of one tenant's customers."""
-    clustered = cluster(features, **options)
+    """Segments of the customers of every tenant."""
+    clustered = stored(cluster(features, **options))
     return clustered.join(name_clusters(clustered), ["user_id", "cluster"]).select(
         "user_id",
         "customer_id",
@@ -89,12 +149,6 @@ def segment(features: DataFrame, created_at: str, **options) -> DataFrame:
     )
 
 
-def segment_tenants(features: DataFrame, created_at: str, tenants: list[str], **options) -> DataFrame:
-    """Segments of several tenants, one clustering each (a clustering is a distributed job of its own)."""
-    parts = [segment(features.filter(F.col("user_id") == u), created_at, **options) for u in tenants]
-    return reduce(DataFrame.unionByName, parts)
-
-
 def accepted(assignments: DataFrame, known: DataFrame) -> DataFrame:
     """Assignments of known customers, with default name and number."""
     return assignments.join(known, ["user_id", "customer_id"], "left_semi").withColumns(

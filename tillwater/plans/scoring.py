@@ -283,9 +283,69 @@ def dominant_segment(t):
     return dashboard.dominant_segment(dashboard.customer_distribution(segment_history(t)))
 
 
-@register("customer_segments")
+def spots_sql(feat: str) -> str:
+    """Scaled points, as whole millionths of a standard deviation."""
+    axes = ["recency", "frequency", "monetary", "aov"]
+    place = ", ".join(
+        f"CASE WHEN max_{a} > min_{a} THEN CAST(floor(({a} - avg_{a}) / std_{a} * 1000000 + 0.5) AS BIGINT) ELSE 0 END AS x{i}"
+        for i, a in enumerate(axes)
+    )
+    stats = ", ".join(f"AVG({a}) AS avg_{a}, stddev_pop({a}) AS std_{a}, MIN({a}) AS min_{a}, MAX({a}) AS max_{a}" for a in axes)
+    return f"""SELECT f.user_id, customer_id, recency, frequency, monetary, {place} FROM {feat} f
+      JOIN (SELECT user_id, COUNT(*) AS n, {stats} FROM {feat} GROUP BY user_id) g ON g.user_id = f.user_id AND n >= 2"""
+
+
+def segment_ctes(feat: str, tag: str = "") -> dict:
+    """Lloyd's iteration over all tenants and restarts, from the same first centres."""
+    xs = [f"x{i}" for i in range(4)]
+    away = " + ".join(f"CAST(p.{x} - c.{x} AS DOUBLE) * CAST(p.{x} - c.{x} AS DOUBLE)" for x in xs)
+    near = f"""SELECT p.user_id, c.restart, p.customer_id, {", ".join(f"p.{x}" for x in xs)},
+        arg_min(c.i, ROW({away}, c.i)) AS i, MIN({away}) AS d FROM spots{tag} p JOIN {{centres}} c ON c.user_id = p.user_id {{only}}
+        GROUP BY p.user_id, c.restart, p.customer_id, {", ".join(f"p.{x}" for x in xs)}"""
+    key = "md5(CAST(restart AS VARCHAR) || ':' || CAST(customer_id AS VARCHAR))"
+    farthest = f"""SELECT user_id, restart, {{i}}, {", ".join(f"b.{x}" for x in xs)} FROM (
+        SELECT user_id, restart, arg_max({{{{{", ".join(f"'{x}': {x}" for x in xs)}}}}}, ROW(d, {key})) AS b
+        FROM ({near.format(centres="{of}", only="")}) GROUP BY user_id, restart)"""
+    old = ", ".join(f"c.{x} AS o{x}, COALESCE(CAST(floor(s.{x} / s.n + 0.5) AS BIGINT), c.{x}) AS {x}" for x in xs)
+    shift = " + ".join(f"CAST(o{x} - {x} AS DOUBLE) * CAST(o{x} - {x} AS DOUBLE)" for x in xs)
+    return {
+        f"spots{tag}": spots_sql(feat),
+        f"drawn{tag}": f"""SELECT user_id, restart, row_number() OVER (PARTITION BY user_id, restart ORDER BY {key}, customer_id) - 1 AS i,
+            {", ".join(xs)} FROM spots{tag}, (SELECT unnest(range(10)) AS restart) QUALIFY i < 3""",
+        f"one{tag}": f"SELECT * FROM drawn{tag} WHERE restart % 2 = 1 AND i = 0",
+        f"two{tag}": f"SELECT * FROM one{tag} UNION ALL " + farthest.format(i=1, of=f"one{tag}"),
+        f"three{tag}": f"SELECT * FROM two{tag} UNION ALL " + farthest.format(i=2, of=f"two{tag}"),
+        f"lloyd{tag}": f"""SELECT user_id, restart, i, {", ".join(xs)}, 0 AS turn, true AS going
+            FROM (SELECT * FROM drawn{tag} WHERE restart % 2 = 0 UNION ALL SELECT * FROM three{tag})
+          UNION ALL
+          SELECT user_id, restart, i, {", ".join(xs)}, turn + 1, SUM({shift}) OVER (PARTITION BY user_id, restart) > 1e8 AND turn < 299
+          FROM (SELECT c.user_id, c.restart, c.i, c.turn, {old} FROM lloyd{tag} c LEFT JOIN (
+              SELECT user_id, restart, i, COUNT(*) AS n, {", ".join(f"SUM({x}) AS {x}" for x in xs)}
+              FROM ({near.format(centres=f"lloyd{tag}", only="AND c.going")}) GROUP BY user_id, restart, i
+            ) s ON s.user_id = c.user_id AND s.restart = c.restart AND s.i = c.i WHERE c.going)""",
+        f"settled{tag}": f"SELECT * FROM lloyd{tag} QUALIFY rank() OVER (PARTITION BY user_id, restart ORDER BY turn DESC) = 1",
+        f"assigned{tag}": near.format(centres=f"settled{tag}", only=""),
+        f"best{tag}": f"""SELECT user_id, arg_min(restart, ROW(cost, restart)) AS restart FROM (
+            SELECT user_id, restart, SUM(CAST(d AS DECIMAL(38,0))) AS cost FROM assigned{tag} GROUP BY ALL) GROUP BY user_id""",
+        f"clustered{tag}": f"""SELECT a.user_id, a.customer_id, a.i, p.recency, p.frequency, p.monetary FROM assigned{tag} a
+            JOIN best{tag} b ON b.user_id = a.user_id AND b.restart = a.restart
+            JOIN spots{tag} p ON p.user_id = a.user_id AND p.customer_id = a.customer_id""",
+        f"named{tag}": f"""SELECT *, CASE row_number() OVER (PARTITION BY user_id ORDER BY score DESC, i)
+            WHEN 1 THEN 'High Value' WHEN 2 THEN 'Regular' ELSE 'At Risk' END AS segment_name FROM (
+            SELECT user_id, i, {xsum('monetary')} / COUNT(*) + 100 * ({xsum('frequency')} / COUNT(*))
+              - 10 * ({xsum('recency')} / COUNT(*)) AS score FROM clustered{tag} GROUP BY user_id, i)""",
+    }
+
+
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("customer_segments", recursive(query("done", f"""SELECT c.user_id, c.customer_id, n.segment_name,
+    CAST(c.i AS INTEGER) AS cluster_number, {r('n.score', 4)} AS score, '{AS_OF}' AS created_day
+    FROM clustered c JOIN named n ON n.user_id = c.user_id AND n.i = c.i""", **FEAT, **segment_ctes("feat"))))
 def customer_segments(t):
-    """The whole customer base as one tenant; cluster labels depend on the seeds, so there is no check SQL."""
-    base = features.segmentation_features(run_features(t).withColumn("user_id", F.lit("ALL")))
+    """Segments of every tenant's customers."""
+    base = features.segmentation_features(run_features(t))
     found = segments.accepted(segments.segment(base, AS_OF), base)
     return found.withColumn("created_day", F.date_format("created_at", "yyyy-MM-dd")).drop("created_at")
