@@ -32,6 +32,7 @@ ignored. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,6 +42,8 @@ from tillwater.functions.ranking import full_rank
 from tillwater.session import stored
 
 FANOUT, HEIGHT = 3, 7
+#: Partitions or subroots in one file of an exchange.
+FILE_ROWS = 20_000
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -86,8 +89,10 @@ def _partition_roots(leaves: DataFrame, fanout: int, height: int) -> DataFrame:
 def _exchange(roots: DataFrame, fanout: int) -> DataFrame:
     """``tree``, ``part``, ``parts``, ``root`` (the tree's) and ``upper``: digests left and right of the path, level by level."""
     none = F.array().cast("array<struct<left:string,right:string>>")
-    state = stored(roots.withColumn("upper", none))
-    most = state.agg(F.coalesce(F.max("parts"), F.lit(0))).first()[0]
+    rows, most = roots.agg(F.count(F.lit(1)), F.coalesce(F.max("parts"), F.lit(0))).first()
+    # A row a partition: a file takes many of them, however many tasks the leaves need.
+    files = max(1, math.ceil(rows / FILE_ROWS))
+    state = stored(roots.withColumn("upper", none).coalesce(files))
     width = 1  # partitions below a node of this level
     while width < most:
         own = F.floor(F.col("part") / width).cast("long")
@@ -113,7 +118,7 @@ def _exchange(roots: DataFrame, fanout: int) -> DataFrame:
             "tree", "part", "parts",
             F.when(going, F.sha2(F.concat(left, F.col("root"), right), 256)).otherwise(F.col("root")).alias("root"),
             F.when(going, F.concat("upper", F.array(F.struct(left.alias("left"), right.alias("right"))))).otherwise(F.col("upper")).alias("upper"),
-        ))
+        ).coalesce(files))
         width *= fanout
     return state
 
@@ -165,17 +170,18 @@ def manifest(docs: DataFrame, changed: Column | None = None, fanout: int = FANOU
     # Only what differs is kept. Ids travel as text, since a column with nulls would come as floating-point numbers.
     rows = rows.withColumn("now", F.when(F.col("now") != F.col("digest"), F.col("now")))
     ranked = full_rank(rows, ["tree"], [F.col("doc_id"), F.col("digest"), F.col("now")], "_rank")
-    leaves = stored(ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "tree", (F.col("_rank") - 1).alias("pos"), "digest", "now").withColumn(
+    leaves = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "tree", (F.col("_rank") - 1).alias("pos"), "digest", "now").withColumn(
         "part", F.floor(F.col("pos") / fanout**height).cast("long")
-    ))
+    )
     tops = _exchange(_partition_roots(leaves, fanout, height), fanout)
     # The subroots are the leaves of one more tree.
     subroots = tops.filter("part = 0").select("tree", F.col("root").alias("digest"))
     ordered = full_rank(subroots, [], [F.col("tree")], "_rank").select(F.lit("").alias("tree"), "digest", (F.col("_rank") - 1).alias("pos"), F.col("tree").alias("of"))
-    ordered = stored(ordered)
+    ordered = stored(ordered.coalesce(max(1, math.ceil(subroots.count() / FILE_ROWS))))
     paths = _paths(ordered.drop("of"), fanout, height).join(ordered.select("pos", "of"), "pos")
     paths = paths.select(F.col("of").alias("tree"), F.col("root").alias("top"), "path")
-    tops = stored(tops.join(paths, "tree").select("tree", "part", "parts", F.col("root").alias("subroot"), "top", F.concat("upper", "path").alias("upper")))
+    files = max(1, math.ceil(tops.count() / FILE_ROWS))
+    tops = stored(tops.join(paths, "tree").coalesce(files).select("tree", "part", "parts", F.col("root").alias("subroot"), "top", F.concat("upper", "path").alias("upper")))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
 
