@@ -31,6 +31,7 @@ def held_out() -> Column:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as public
 
+    tidy(spark)
     ranks = public.path("byte_bpe_50k.tiktoken")
     encoded = bpe.encode(_table(spark, sf_dir, "documents"), ranks, public.PATTERN)
     return bpe.decode(encoded, ranks).select(
