@@ -137,9 +137,14 @@ def ordered_rules(rules: DataFrame) -> DataFrame:
     return rules.orderBy("user_id", *rule_order())
 
 
-def summary(tx: DataFrame, itemsets: DataFrame, rules: DataFrame) -> DataFrame:
-    """Counts, mean confidence, largest lift and the strongest rule; zeros where nothing was found."""
+def summary(tx: DataFrame, itemsets: DataFrame, rules: DataFrame, tenants: DataFrame | None = None) -> DataFrame:
+    """Counts, mean confidence, largest lift and the strongest rule; zeros where nothing was found.
+
+    ``tenants`` (``user_id``) adds a row of zeros for tenants without baskets.
+    """
     baskets = basket_counts(tx)
+    if tenants is not None:
+        baskets = tenants.select("user_id").distinct().join(baskets, "user_id", "left").na.fill(0, ["transactions"])
     products = (
         tx.select("user_id", F.explode("items").alias("_p")).distinct()
         .groupBy("user_id").agg(F.count(F.lit(1)).alias("products"))

@@ -114,7 +114,7 @@ def association_rules(t):
 def basket_summary(t):
     tx = type_transactions(t)
     sets = basket.frequent_itemsets(tx)
-    out = basket.summary(tx, sets, basket.association_rules(sets))
+    out = basket.summary(tx, sets, basket.association_rules(sets), t.tenant_of)
     return out.withColumn("top_antecedent", joined("top_antecedent")).withColumn("top_consequent", joined("top_consequent"))
 
 

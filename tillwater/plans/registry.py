@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tillwater.plans import baskets, forecasts, imports, relational, scoring  # noqa: F401
+from tillwater.plans import baskets, forecasts, imports, relational, runs, scoring  # noqa: F401
 
 
 def queries() -> dict:

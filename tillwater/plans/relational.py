@@ -168,38 +168,6 @@ def latest_dataset(t):
     return dashboard.latest_dataset(datasets(t))
 
 
-@register("activity_feed", query("ord", """
-    SELECT user_id, id, type, title, description, strftime(ts, '%Y-%m-%d') AS day, rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, id) AS rank FROM feed) WHERE rank <= 10""",
-    ds=DATASETS_SQL, feed=f"""
-      SELECT user_id, 'dataset-' || dataset_id AS id, 'dataset' AS type, 'Dataset imported' AS title,
-        name || ' — ' || CAST(row_count AS VARCHAR) || ' rows' AS description, uploaded_at AS ts FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at DESC, dataset_id DESC) AS k FROM ds) WHERE k <= 3
-      UNION ALL
-      SELECT user_id, 'order-' || CAST(order_id AS VARCHAR), 'order', 'Order processed', CAST(order_id AS VARCHAR) || ' — ' ||
-        regexp_replace(CAST(CAST({money('total_amount')} AS DECIMAL(18,2)) AS VARCHAR), '\\.?0+$', ''), order_date FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY order_date DESC, order_id DESC) AS k FROM ord) WHERE k <= 3
-      UNION ALL
-      SELECT DISTINCT user_id, 'segmentation-latest', 'segmentation', 'Customer segmentation completed',
-        'Customer segmentation model results were generated.', TIMESTAMP '{AS_OF} 00:00:00' - INTERVAL 1 DAY FROM tenant
-      UNION ALL
-      SELECT DISTINCT user_id, 'churn-latest', 'churn', 'Churn prediction completed',
-        'Customer churn probabilities were updated.', TIMESTAMP '{AS_OF} 00:00:00' FROM tenant
-      UNION ALL
-      SELECT DISTINCT user_id, 'forecast-latest', 'forecast', 'Sales forecast generated',
-        'Revenue forecasting results were updated.', TIMESTAMP '{AS_OF} 00:00:00' + INTERVAL 1 DAY FROM tenant"""))
-def activity_feed(t):
-    at = F.lit(AS_OF).cast("timestamp")
-    run = lambda ts: t.tenant_of.select("user_id", ts.alias("at"))
-    runs = [
-        ("segmentation", run(at - F.expr("interval 1 day")), "at"),
-        ("churn", run(at), "at"),
-        ("forecast", run(at + F.expr("interval 1 day")), "at"),
-    ]
-    feed = dashboard.activity_feed(datasets(t), t.orders, runs)
-    return feed.withColumn("day", iso_day(F.col("timestamp"))).withColumn("rank", F.col("rank").cast("long")).drop("timestamp")
-
-
 @register("safe_money", query("", f"""
     SELECT c_custkey, {money('c_acctbal / nullif(c_nationkey, 0)')} AS per_nation FROM customer"""))
 def safe_money(t):
