@@ -6,20 +6,25 @@ block of the whole text is compressed with either dictionary. The difference of
 the two sizes over the text's size is the evidence; a logistic curve, fitted on
 labelled texts that no dictionary has seen, turns it into a probability.
 
-Training uses a bounded sample: at most SAMPLE labelled rows of a label, those
-with the smallest hashes, and BLOCKS blocks of each. Half make dictionaries, half fit
-the curve, weighted back to the labels' true shares (counted over all labelled
-rows). The model is two dictionaries and four numbers. Scoring is one pass
-without a shuffle.
+Training uses a bounded sample of labelled documents: those whose hash lies in
+the first SAMPLE of their label's documents, SAMPLE on average (all, if there
+are fewer). Half of them make dictionaries, of blocks of the whole texts; if
+there are more than BLOCKS of a label, those with the smallest hashes count,
+BLOCKS on average. The other half fits the curve to the evidence of whole texts,
+weighted back to the labels' true shares. Evidence is taken by the executors, a
+number a document. The model is two dictionaries and four numbers. Scoring is
+one pass without a shuffle.
 
 A null text scores as an empty one: evidence 0, so the curve's value there.
-Rows whose label or doc_id is null don't train. Repeated rows score alike.
+Rows whose label or doc_id is null don't train. Repeated rows score alike. A doc_id
+trains once, with its largest label and the first of its texts.
 Without two labels to learn from, every score is the share of label 1 (0.5 if
 there are no labels).
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,15 +32,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillwater.llm.common import text_or_empty, unused
+from tillwater.session import stored
 
-#: Labelled rows of one label used for training, at most.
+#: Labelled documents of one label used for training, on average.
 SAMPLE = 4_000
-#: Blocks of a sampled text used for training, at most; spread evenly over the text.
-BLOCKS = 4
+#: Blocks of one label that a dictionary is made of, on average.
+BLOCKS = 8_000
 BLOCK_BYTES = 1_000
 DICTIONARY_BYTES = 65_536
 LEVEL = 3
@@ -111,35 +116,45 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """Model of ``labels`` (``doc_id`` and a 0/1 column) over the texts of ``docs``."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label"))
-    known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).withColumn("h", F.xxhash64("doc_id"))
+    known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = dict(known.groupBy("label").count().collect())
     total = sum(counts.values())
     if len(counts) < 2:
         share = min(max(counts.get(1, 0) / total, 0.01), 0.99) if total else 0.5
         return Model(b"", b"", 0.0, float(np.log(share / (1 - share))))
-    order = W.partitionBy("label").orderBy("h", "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= sample)
+    place = lambda what: F.shiftrightunsigned(F.xxhash64(F.lit(what), "doc_id"), 11) / float(1 << 53)
+    part = F.when(F.col("label") == 1, sample / counts[1]).otherwise(sample / counts[0])
+    chosen = known.filter(place("sample") < part).withColumn("learns", place("half") < 0.5)
+    # Some 2 * sample short rows, hence the broadcast; texts of a doc_id that occurs often are compared where they lie.
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = stored(texts.groupBy("doc_id", "label", "learns").agg(F.min("text").alias("text")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parts = []
-            for text in batch["text"]:
-                every = blocks_of(text)
-                at = np.unique(np.linspace(0, len(every) - 1, min(BLOCKS, len(every))).astype(int)) if every else []
-                parts.append([every[i] for i in at])
-            yield pd.DataFrame({"label": batch["label"], "rank": batch["rank"], "blocks": parts})
-
-    # At most 2 * sample short rows, hence the broadcast; and as many short lists of blocks for the driver.
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    seen = texts.mapInPandas(cut, "label int, rank int, blocks array<binary>")
-    rows = sorted(((r, y, [bytes(x) for x in b]) for y, r, b in seen.limit(4 * sample).collect()), key=lambda x: x[:2] + (x[2],))
-    learn, check = [x for x in rows if x[0] % 2], [x for x in rows if not x[0] % 2] or rows
-    good, bad = (_dictionary([b for _, y, bs in learn if y == want for b in bs if b]) for want in (1, 0))
-    model = Model(good, bad, 0.0, 0.0)
+            for doc_id, label, text in zip(batch["doc_id"], batch["label"], batch["text"], strict=True):
+                parts = blocks_of(text)
+                at = [zlib.crc32(f"{doc_id}/{i}".encode()) / 2.0**32 for i in range(len(parts))]
+                yield pd.DataFrame({"label": label, "at": at, "block": parts})
+
+    blocks = texts.filter("learns").mapInPandas(cut, "label int, at double, block binary")
+    sizes = dict(blocks.groupBy("label").count().collect())
+    if len(sizes) < 2:
+        return Model(b"", b"", 0.0, float(np.log(counts[1] / counts[0])))
+    few = F.col("at") < F.when(F.col("label") == 1, BLOCKS / sizes[1]).otherwise(BLOCKS / sizes[0])
+    rows = sorted((y, at, bytes(x)) for y, at, x in blocks.filter(few).collect())
+    good, bad = (_dictionary([b for y, _, b in rows if y == want]) for want in (1, 0))
     if not good or not bad:
         return Model(b"", b"", 0.0, float(np.log(counts[1] / counts[0])))
-    raw = np.array([_evidence(model, b) for _, _, b in check])
-    y = np.array([float(v) for _, v, _ in check])
+    model = Model(good, bad, 0.0, 0.0)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"label": batch["label"], "evidence": [model.evidence(t) for t in batch["text"]]})
+
+    rest = texts.filter("not learns")
+    seen = (rest if rest.limit(1).count() else texts).mapInPandas(weigh, "label int, evidence double").collect()
+    seen = sorted((r["evidence"], r["label"]) for r in seen)
+    raw, y = np.array([e for e, _ in seen]), np.array([float(v) for _, v in seen])
     fine = raw[y == 1] if (y == 1).any() else raw
     centre, spread = float(np.median(fine)), float(np.median(np.abs(fine - np.median(fine)))) or 1e-3
     model = Model(good, bad, 0.0, 0.0, centre, spread)
@@ -149,11 +164,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return Model(good, bad, *_curve(x, y, weight), centre, spread)
 
 
-def _evidence(model: Model, parts: list[bytes]) -> float:
-    good, bad = _compressors(model.good, model.bad)
-    return (sum(len(bad.compress(x)) for x in parts) - sum(len(good.compress(x)) for x in parts)) / (sum(map(len, parts)) + 1)
-
-
 def scored(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """The rows of ``docs`` with ``score``: the probability of label 1 for the whole text."""
 
