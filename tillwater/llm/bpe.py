@@ -13,7 +13,7 @@ overlap), the text is encoded as one piece. Ids are those of the rank file's
 library on the whole text. Shorter texts are one piece and need no shuffle.
 
 Nulls count as empty texts; an empty text has no ids. Rows are independent:
-repeated rows and repeated doc_ids each keep their result.
+repeated rows and repeated doc_ids each keep their result. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ task that runs twice leaves one whole file. Files go through Arrow's file
 systems, so the folder may be local, HDFS or an object store; it lies in the
 shared folder. An index bucket is bounded by its number of distinct keys, and
 a key with very many records is one entry (records with equal keys are
-neighbours, also across shards).
+neighbours, also across shards). A very long text is one record of a shard. An empty
+table makes a store without records, in which nothing is found.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ left. No row is moved in either pass.
 
 The order is that of the rows in the stored table: files and rows as Spark
 reads them. A null text counts as empty; every document has its end id, so
-each has at least one piece. Repeated rows and ids are packed one by one.
+each has at least one piece. Repeated rows and ids are packed one by one, so no tie needs settling. A very long
+text is cut into as many pieces as it takes. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ expressions over the one row, without a shuffle: a document's cost grows as
 n log n with its length, and no rule looks at other documents.
 
 A null text has no lines and no words; it counts as rejected, as an empty
-text does, since both have fewer words than the least.
+text does, since both have fewer words than the least. Very long texts are judged whole. Rows are judged one by
+one, so repeated rows and doc_ids each keep their result. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ therefore moves only into or out of that subtree, and inside it only where
 weights changed too. A new shard joins as a region of its own, so that rows
 move into it and nowhere else (law ``key``).
 
+A very long text is a row like any other; equal draws go to the child that comes first; an empty table gives no rows.
+
 Everything is column expressions over a tree that the driver holds (it has as
 many entries as there are shards, not rows).
 """

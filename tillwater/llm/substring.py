@@ -22,7 +22,7 @@ once. Anchors and edges are counted per task before they are moved, and joins sp
 
 Nulls: a null text has no words. A document without doc_id is neither source
 nor changed. Rows with one doc_id are no repeats of each other. Repeated rows
-get the same result. ``doc_id`` must be an integer column.
+get the same result. Very long texts are searched whole. An empty table gives no rows. ``doc_id`` must be an integer column.
 """
 
 from __future__ import annotations

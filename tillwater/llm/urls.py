@@ -12,7 +12,8 @@ labelled URLs, those with the smallest hashes; suffix statistics cover all of th
 
 A null URL or one without ``://`` has an empty host and path; no rule fits it,
 and the trees judge its features. Repeated rows get the same verdict. Without labelled
-URLs of both kinds the verdict is that of the only kind, or else allow.
+URLs of both kinds the verdict is that of the only kind, or else allow. Very long URLs are judged whole. Of
+rules as long as each other the one that comes first counts. An empty table gives no rows.
 """
 
 from __future__ import annotations
