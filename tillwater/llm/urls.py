@@ -8,7 +8,8 @@ of them is blocked; a URL's own label is left out in training).
 
 Main path: column expressions, joins on suffixes, Spark's boosted trees, whose
 result is compiled to column expressions again. Training takes at most SAMPLE
-labelled URLs, those with the smallest hashes; suffix statistics cover all of them.
+different labelled URLs, those with the smallest hashes, so copies of one URL don't fill the sample;
+a URL with both labels counts once with each. Suffix statistics cover all labelled rows.
 
 A null URL or one without ``://`` has an empty host and path; no rule fits it,
 and the trees judge its features. Repeated rows get the same verdict. Without labelled
@@ -184,7 +185,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     if len(counts) < 2:
         return Model(*(_statistics(rows, s) for s in ("s1", "s2")), share, [])
     model = Model(*(_statistics(rows, s) for s in ("s1", "s2")), share, [])
-    chosen = rows.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample)
+    # Equal URLs have equal features, so one row a URL and label is taken.
+    once = rows.groupBy("url", "blocked").agg(*[F.first(c).alias(c) for c in rows.columns if c not in ("url", "blocked")])
+    chosen = once.orderBy(F.xxhash64("url"), "url", "blocked").limit(sample)
     training = model.features(chosen, F.col("blocked")).select(*FEATURES, "blocked")
     # A few stored rows: the trees pass over them once for each level.
     from tillwater.session import stored
