@@ -176,7 +176,11 @@ def spans(rows: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def digested(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The spans with ``digest`` of their words at the source."""
+    """The spans with ``digest`` of their words at the source.
+
+    A source is asked once for a span, however many documents cite it; its digest is joined back to them.
+    """
+    at_source = ["src", "src_mark", "src_start", "length"]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,16 +190,17 @@ def digested(rows: DataFrame, found: DataFrame) -> DataFrame:
                 for x in wanted.as_py():
                     x["digest"] = _digest(words[x["src_start"] : x["src_start"] + x["length"]])
                     out.append(x)
-            names = ["doc", "mark", "start", "length"]
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array([x[k] for x in out], pa.int64()) for k in names), pa.array([x["digest"] for x in out], pa.binary())],
-                [*names, "digest"],
+                [*(pa.array([x[k] for x in out], pa.int64()) for k in at_source), pa.array([x["digest"] for x in out], pa.binary())],
+                [*at_source, "digest"],
             )
 
-    asked = found.groupBy(F.col("src").alias("doc"), F.col("src_mark").alias("mark"), F.pmod(F.xxhash64("doc"), F.lit(64)).alias("slice"))
-    asked = asked.agg(F.collect_list(F.struct("doc", "mark", "start", "length", "src_start")).alias("wanted")).drop("slice")
+    asked = found.select(*at_source).distinct()
+    asked = asked.groupBy(F.col("src").alias("doc"), F.col("src_mark").alias("mark"), F.pmod(F.xxhash64("src_start"), F.lit(64)).alias("slice"))
+    asked = asked.agg(F.collect_list(F.struct(*at_source)).alias("wanted")).drop("slice")
     joined = rows.join(asked, ["doc", "mark"]).select("text", "wanted")
-    return joined.mapInArrow(digest, "doc long, mark long, start long, length long, digest binary")
+    digests = joined.mapInArrow(digest, "src long, src_mark long, src_start long, length long, digest binary").distinct()
+    return found.join(digests, at_source).select("doc", "mark", "start", "length", "digest")
 
 
 def removals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
