@@ -206,6 +206,14 @@ def test_url_trees_learn(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, [], model).collect()} == {1: "block", 2: "allow"}
 
 
+def test_url_copies_do_not_fill_the_sample(spark):
+    rows = [("http://one.site.edu/p", 0)] * 500
+    rows += [(f"http://{'buy-cheap' if i % 2 else 'www'}{i}.site.{'biz' if i % 2 else 'edu'}/p/{i}", i % 2) for i in range(300)]
+    model = urls.fit(spark.createDataFrame(rows, "url string, blocked int"), sample=200)
+    pages = spark.createDataFrame([(1, "http://buy-cheap9999.other.biz/p/1"), (2, "http://www9999.other.edu/p/1")], "page_id long, url string")
+    assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, [], model).collect()} == {1: "block", 2: "allow"}
+
+
 def test_neighbours(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id", "embedding")
     bad = spark.createDataFrame(
@@ -420,6 +428,35 @@ def test_repeats(odd, docs):
     assert substring.deduplicated(both.limit(0)).count() == 0
 
 
+def test_source_cited_by_many(spark):
+    licence = " ".join(f"l{i}" for i in range(60))
+    rows = [(0, f"first {licence} end")] + [(i, f"own{i} words{i} {licence} more{i}") for i in range(1, 301)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = substring._keyed(docs)
+    found = substring.spans(keyed, substring.whole_copies(keyed))
+    told = substring.digested(keyed, found).collect()
+    assert sorted(r["doc"] for r in told) == list(range(1, 301)) and len({bytes(r["digest"]) for r in told}) == 1
+    got = {r["doc_id"]: r["text"] for r in substring.remove_repeats(docs).collect()}
+    assert got == {0: rows[0][1]} | {i: f"own{i} words{i} more{i}" for i in range(1, 301)}
+
+
+def test_near_copies_are_told_apart(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(16)
+    rows = [(i, (base + 1e-4 * rng.standard_normal(16)).tolist()) for i in range(600)]
+    rows += [(600 + i, rng.standard_normal(16).tolist()) for i in range(200)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(neighbours.build(table), table.filter("vec_id % 20 = 0")).collect()
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for r in got:
+        sims = x @ x[r["query_id"]]
+        sims[r["query_id"]] = -9
+        hits += sims[r["vec_id"]] >= np.sort(sims)[-5] - 1e-15
+    assert len(got) == 200 and hits >= 0.9 * 200
+
+
 def test_repeats_keep_columns(odd):
     cut = substring.remove_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == odd.count()
