@@ -10,10 +10,14 @@ are the connected components of pairs at SIMILARITY or more.
 
 - Equal texts are one node from the start (keyed by 128-bit text hash), so a
   text with millions of copies is sketched into one row a band.
-- Inverse document frequency: 1 + ln(N / df), where a shingle in fewer than
-  COMMON * N documents counts as one in COMMON * N. Counts cover all documents. Common
-  shingles are few whatever the corpus (a document's mean shingles / COMMON at
-  most), which bounds the table that is broadcast; they are found in two
+- Inverse document frequency: 1 + ln(N / df). Counts cover all documents. With a
+  ``share`` of 0 (as the queries have it), every shingle has its own: chunks of texts
+  ask buckets of shingles, which add up and answer, and a text carries the
+  frequencies of its shingles from there on. Chunks and buckets are as many as each
+  other, so that a chunk asks a bucket for the same amount, whatever the corpus.
+- With a ``share``, a shingle in fewer than share * N documents counts as one in
+  share * N. Common shingles are few whatever the corpus (a document's mean shingles /
+  share at most), which bounds the table that is broadcast; they are found in two
   exact passes: upper bounds of the counts by partition leave few candidates, which are then counted.
 - Two texts of a band's group are compared unless they are known to be in one
   component, in groups of any size. Every member meets the group's most central
@@ -48,8 +52,10 @@ from tillwater.session import stored
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 14, 3
-#: From this share of documents on, a shingle counts as common.
+#: From this share of documents on, a shingle counts as common (0: frequencies of all shingles).
 COMMON = 0.2
+#: Text bytes, on average, of what a chunk of texts asks a bucket of shingles.
+TILE_BYTES = 1 << 14
 #: Band groups of at most this size meet whole in the first round; larger ones that stay split are finished in blocks.
 EXACT_GROUP = 15
 #: Members and text bytes of a block, on average at most.
@@ -90,14 +96,22 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Weights:
-    """Inverse document frequencies: of common shingles one by one, and of all others."""
+    """Inverse document frequencies: of the shingles given one by one, and of all others.
 
-    def __init__(self, ids: np.ndarray, documents: np.ndarray, total: int):
+    With a ``share`` the others are in that share of the documents, and those given in no less. With 0, nothing is given for
+    all texts: ``local`` has the frequencies that some texts bear.
+    """
+
+    def __init__(self, ids: np.ndarray, documents: np.ndarray, total: int, share: float = COMMON):
         order = np.argsort(ids)
         self.ids = np.append(ids[order], np.uint64(1 << 63))
-        self.rare = 1.0 + np.log(1.0 / COMMON)
-        common = 1.0 + np.log(np.maximum(total, 1) / np.maximum(documents[order], 1))
-        self.values = np.append(np.minimum(common, self.rare), self.rare)
+        self.total, self.share = max(total, 1), share
+        self.rare = 1.0 + np.log(1.0 / (share or 1.0 / self.total))
+        self.values = np.append(self.by_count(documents[order]), self.rare)
+
+    def by_count(self, documents: np.ndarray) -> np.ndarray:
+        """Inverse frequency of shingles in so many documents."""
+        return np.minimum(1.0 + np.log(self.total / np.maximum(documents, 1)), self.rare)
 
     def of(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
         if len(self.ids) == 1:
@@ -105,6 +119,15 @@ class Weights:
         at = np.searchsorted(self.ids, ids)
         return counts * np.where(self.ids[at] == ids, self.values[at], self.rare)
 
+    def local(self, *sides: tuple[pa.Array, pa.Array]) -> Weights:
+        """Weights for some texts, given as texts and the frequencies of their shingles (see ``frequency_sketches``)."""
+        if self.share:
+            return self
+        ids = np.concatenate([shingle_sets(texts)[1] for texts, _ in sides])
+        documents = np.frombuffer(b"".join(b for _, held in sides for b in held.to_pylist()), "<u4")
+        ids, at = np.unique(ids, return_index=True)
+        return Weights(ids, documents[at], self.total, 0)
+
 
 def parts(batch: pa.RecordBatch, *columns: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most about ``size`` bytes over all the text columns named (or one row) and 4,096 rows."""
@@ -193,6 +216,82 @@ def common_shingles(texts: DataFrame, share: float = COMMON) -> tuple[np.ndarray
     return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), total
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ascending shingle ids as their differences, byte by byte of all of them, so that the high bytes compress."""
+    return np.diff(ids, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : ID_BITS // 8].T.tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    planes = np.frombuffer(held, np.uint8).reshape(ID_BITS // 8, -1)
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, : ID_BITS // 8] = planes.T
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64)
+
+
+def chunk_sets(chunk: pa.Table) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Parts of a chunk of texts with their shingle sets, the chunk's shingles, and the place there of each shingle of the sets."""
+    found = [(part, *shingle_sets(part.column("text"))) for batch in chunk.to_batches() for part in parts(batch)]
+    every, at = np.unique(np.concatenate([ids for _, _, ids, _ in found]), return_inverse=True)
+    return found, every, at
+
+
+def frequency_sketches(texts: DataFrame, total: int, size: int) -> DataFrame:
+    """``node``, ``keys`` (one a band) and ``frequent`` of every text with a word, with the frequencies of all shingles.
+
+    ``texts`` has ``node``, ``text`` and ``copies`` of distinct texts, of ``size`` bytes, ``total`` with all copies.
+    ``frequent`` holds in how many of these each shingle of the text is (32 bits each, in the order of ``shingle_sets``).
+    Chunk and bucket are held by a task; their size grows with the square root of ``size`` (4 MB of text at 1 GB).
+    """
+    n = int(min(max(np.ceil(np.sqrt(size / TILE_BYTES)), 1), 1 << 15))
+    weights = Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 0)
+    schema = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("frequent", pa.binary())])
+
+    def ask(chunk: pa.Table) -> pa.Table:
+        found, every, at = chunk_sets(chunk)
+        copies = np.concatenate([part.column("copies").to_numpy()[owner] for part, owner, _, _ in found])
+        documents = np.bincount(at, copies, len(every)).astype("<u4")
+        # Buckets are ranges of ids, which are hashes.
+        cuts = np.searchsorted((every * np.uint64(n)) >> np.uint64(ID_BITS), np.arange(n + 1, dtype=np.uint64))
+        asked = np.flatnonzero(np.diff(cuts))
+        return pa.table({
+            "chunk": pa.array(np.full(len(asked), chunk.column("chunk")[0].as_py(), np.int32)), "bucket": pa.array(asked.astype(np.int32)),
+            "ids": pa.array([packed(every[cuts[b] : cuts[b + 1]]) for b in asked], pa.binary()),
+            "n": pa.array([documents[cuts[b] : cuts[b + 1]].tobytes() for b in asked], pa.binary()),
+        })
+
+    def answer(bucket: pa.Table) -> pa.Table:
+        ids = [unpacked(held) for held in bucket.column("ids").to_pylist()]
+        asked = np.frombuffer(b"".join(bucket.column("n").to_pylist()), "<u4")
+        every, at = np.unique(np.concatenate(ids), return_inverse=True)
+        documents = np.bincount(at, asked, len(every)).astype("<u4")[at]
+        cuts = np.cumsum([0, *map(len, ids)])
+        held = [documents[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:])]
+        return pa.table({"chunk": bucket.column("chunk"), "bucket": bucket.column("bucket"), "n": pa.array(held, pa.binary())})
+
+    def sketch(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        found, _, at = chunk_sets(chunk)
+        heard = np.frombuffer(b"".join(answers.sort_by("bucket").column("n").to_pylist()), "<u4")
+        out, lo = [], 0
+        for part, owner, ids, counts in found:
+            documents, lo = heard[at[lo : lo + len(ids)]], lo + len(ids)
+            if not len(ids):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            keys = band_keys(samples(ids, counts * weights.by_count(documents), starts))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel().view(np.int64)))
+            ends = pa.py_buffer((np.append(starts, len(ids)) * 4).astype(np.int32))
+            held = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(documents.astype("<u4"))])
+            node = part.column("node").take(pa.array(owner[starts])).cast(pa.binary())
+            out.append(pa.RecordBatch.from_arrays([node, lists, held], schema=schema))
+        return pa.Table.from_batches(out, schema=schema)
+
+    chunked = texts.withColumn("chunk", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
+    asked = chunked.groupBy("chunk").applyInArrow(ask, "chunk int, bucket int, ids binary, n binary")
+    answers = stored(asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, n binary"))
+    both = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(sketch, "node binary, keys array<long>, frequent binary")
+
+
 # Sampling
 
 
@@ -269,7 +368,7 @@ def with_node(docs: DataFrame, name: str = "node") -> DataFrame:
 
 
 def sketches(nodes: DataFrame, weights: Weights) -> DataFrame:
-    """``node`` and ``keys`` (one a band) of every distinct text with a word."""
+    """``node`` and ``keys`` (one a band) of every distinct text with a word, and no ``frequent``: the weights have it all."""
     schema = pa.schema([("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +385,7 @@ def sketches(nodes: DataFrame, weights: Weights) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([node.cast(pa.binary()), lists], schema=schema)
 
     made = nodes.select("node", "text").mapInArrow(sketch, "node binary, keys array<long>")
-    return made.groupBy("node").agg(F.first("keys").alias("keys"))
+    return made.groupBy("node").agg(F.first("keys").alias("keys")).withColumn("frequent", F.lit(None).cast("binary"))
 
 
 def similarities(left: pa.Array, right: pa.Array, weights: Weights) -> np.ndarray:
@@ -309,13 +408,14 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, least: float
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch, "text", "text_b"):
-                good = similarities(part.column("text"), part.column("text_b"), weights) >= least
+                a, b = part.column("text"), part.column("text_b")
+                good = similarities(a, b, weights.local((a, part.column("frequent")), (b, part.column("frequent_b")))) >= least
                 yield part.select(["a", "b"]).filter(pa.array(good))
 
     # Texts grow with the input: they are never broadcast, however small a corpus is.
     with_a = pairs.join(texts.withColumnRenamed("node", "a").hint("merge"), "a")
-    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return with_b.select("a", "b", "text", "text_b").mapInArrow(check, "a binary, b binary")
+    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"), F.col("frequent").alias("frequent_b")).hint("merge"), "b")
+    return with_b.select("a", "b", "text", "text_b", "frequent", "frequent_b").mapInArrow(check, "a binary, b binary")
 
 
 def overlaps(left: tuple, right: tuple, n: int, m: int, weights: Weights) -> np.ndarray:
@@ -402,7 +502,9 @@ def block_links(split: DataFrame, texts: DataFrame, weights: Weights, least: flo
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ours, theirs in zip(batch.column("members"), batch.column("others")):
-                i, j = joins(ours.values, theirs.values, weights, least)
+                sides = [block.values.flatten() for block in (ours, theirs)]
+                left, right = (pa.StructArray.from_arrays(side[:3], ["node", "label", "text"]) for side in sides)
+                i, j = joins(left, right, weights.local(*((side[2], side[3]) for side in sides)), least)
                 a = ours.values.field("node").take(pa.array(i)).cast(pa.binary())
                 b = theirs.values.field("node").take(pa.array(j)).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
@@ -416,7 +518,7 @@ def block_links(split: DataFrame, texts: DataFrame, weights: Weights, least: flo
     dealt = F.pmod(F.xxhash64("node"), F.when(outside, F.col("n_out")).otherwise(F.col("n_in"))).cast("int")
     placed = split.join(numbers, "key").select("key", "node", "label", "n_out", "n_in", F.when(outside, -1 - dealt).otherwise(dealt).alias("block"))
     blocks = placed.join(texts.hint("merge"), "node").groupBy("key", "block", "n_out", "n_in")
-    blocks = stored(blocks.agg(F.collect_list(F.struct("node", "label", "text")).alias("members")))
+    blocks = stored(blocks.agg(F.collect_list(F.struct("node", "label", "text", "frequent")).alias("members")))
     partners = F.expr("concat(sequence(0, n_in - 1), sequence(block, -n_out, -1))")
     asked = blocks.filter("block < 0").select("key", "members", F.explode(partners).alias("block"))
     others = blocks.select("key", "block", F.col("members").alias("others"))
@@ -438,11 +540,18 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def classes_of_nodes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classes_of_nodes(docs: DataFrame, least: float = SIMILARITY, share: float = COMMON) -> DataFrame:
     """``node`` and ``label`` of the nodes that have a near-duplicate."""
     nodes = with_node(docs.select("text").filter(F.col("text").isNotNull()))
-    weights = Weights(*common_shingles(nodes.select(text_or_empty().alias("text"))))
-    keyed = stored(sketches(nodes, weights)).select("node", F.explode("keys").alias("key"))
+    whole = stored(nodes.groupBy("node").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")))
+    if share:
+        weights = Weights(*common_shingles(nodes.select(text_or_empty().alias("text")), share), share)
+        sketched = stored(sketches(whole, weights))
+    else:
+        total, size = whole.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        weights = Weights(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 0)
+        sketched = stored(frequency_sketches(whole, total, size))
+    keyed = sketched.select("node", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = keyed.join(groups, "key")
     # The node with the largest groups is the likeliest centre of its copies.
@@ -451,8 +560,8 @@ def classes_of_nodes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     hubs = members.groupBy("key").agg(F.max_by("node", F.struct("score", "node")).alias("other"))
     pairs = stored(members.join(hubs, "key").filter("node <> other").select(*_ends()).distinct())
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = nodes.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts = stored(needed)
+    needed = whole.select("node", "text").join(wanted.hint("merge"), "node", "left_semi")
+    texts = stored(needed.join(sketched.select("node", "frequent").hint("merge"), "node"))
     links = stored(verified(pairs, texts, weights, least))
     labels = components(links)
     # Groups that span several components: members outside the largest meet further members, the central ones first.
@@ -502,9 +611,9 @@ def _ends() -> tuple[Column, Column]:
     return F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
 
 
-def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def classes(docs: DataFrame, least: float = SIMILARITY, share: float = COMMON) -> DataFrame:
     """``doc_id``, ``class_id`` (least doc_id of the class) and ``class_size`` of every document."""
-    labels = classes_of_nodes(docs, least)
+    labels = classes_of_nodes(docs, least, share)
     rows = with_node(docs.select("doc_id", "text")).select("doc_id", "node")
     tagged = rows.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("label"))
     known = tagged.filter(F.col("label").isNotNull())
@@ -516,9 +625,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = SIMILARITY, share: float = COMMON) -> DataFrame:
     """One row of each class, that with the least doc_id (nulls last), with the columns of ``docs``. Null texts all stay."""
-    labels = classes_of_nodes(docs, least)
+    labels = classes_of_nodes(docs, least, share)
     node, row, nth = unused(docs, "_node", "_row", "_nth")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     # Rows are told apart by what they hold, so that a task that runs again chooses the same ones.
