@@ -35,7 +35,7 @@ def by_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def by_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
     tidy(spark)
-    return minhash.keep_one(docs)
+    return minhash.keep_one(docs, share=0)
 
 
 def by_passage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
