@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from test_basket import frame
 from tillwater.operators import closed, recommend
+from tillwater.plans import baskets
 from tillwater.session import known_empty, stored
+from tillwater.sources.testdata import Tables
 
 RULES = "user_id string, antecedent array<string>, consequent array<string>, support double, confidence double, lift double"
 
@@ -29,6 +31,13 @@ def test_no_rules_make_signals_without_joins(spark):
         assert found.columns == ["user_id", "customer_id", "product_id", "basket", "antecedent_names"] and found.count() == 0
 
 
+def test_recommendations_of_parts_plan_no_rules(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(recommend, "recommend", lambda customers, products, history, rules, *w: seen.append(rules))
+    baskets.recommendations_parts(Tables(spark, "/root/testdata/sf0.001"))
+    assert optimized(seen[0]).startswith("LocalRelation <empty>")
+
+
 def test_baskets_are_made_once_and_not_kept_without_frequent_items(spark, monkeypatch):
     made = spark.sparkContext.accumulator(0)
     tx = frame(spark, {"u": ["ab", "ab", "abc"], "v": ["a", "b"]}).repartition(1)
